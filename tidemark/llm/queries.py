@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, quality, token_counts
+from tidemark.llm import bpe, line_dedup, packing, quality, sharding, token_counts
+from tidemark.llm.runtime import Durable
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(documents(spark, sf_dir), 8, Durable(spark, "slot-map").root)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
 def op2_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -33,12 +39,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_bands, op4_token_counts, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_quality_bands, op4_token_counts, op6_line_templates, op7_bpe_round_trip, op8_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
