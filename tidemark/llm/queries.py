@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, packing, quality, sharding, token_counts
+from tidemark.llm import bpe, line_dedup, ngram_join, packing, quality, sharding, token_counts
 from tidemark.llm.runtime import Durable
 
 
@@ -35,6 +35,10 @@ def op2_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -52,7 +56,7 @@ def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_quality_bands, op4_token_counts, op6_line_templates, op7_bpe_round_trip, op8_length_buckets)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_quality_bands, op3_ngram_join, op4_token_counts, op6_line_templates, op7_bpe_round_trip, op8_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
