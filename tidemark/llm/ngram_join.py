@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.runtime import Durable, ship, small
+from tidemark.llm.similarity import across, in_length, labelled, split, verified
 
 PERCENT, RARE = 80, 24
 
@@ -95,35 +96,6 @@ def _alive(rows: DataFrame, node: list[str], part: float) -> DataFrame:
     return rows.select(*node, "n", number).join(held, "h").filter(F.col("held") >= _k(F.col("n"), part)).select(*node, "n")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _in_length(n: str, m: str, percent: int) -> Column:
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-
-
-def _across(index: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of members of one index entry that lie in different components and whose lengths allow a link."""
-    x = index.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = index.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y, by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _in_length("na", "nb", percent)).select("a", "b").distinct()
-
-
-def _split(index: DataFrame, by: list[str]) -> DataFrame:
-    """Index rows of entries with members in two components or more, with the entry's number of members."""
-    held = index.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).filter("low <> high").select(*by, "df")
-    return index.join(held, by)
-
-
-def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
-    index = index.drop("component", "df")
-    return index.join(labels, index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-
-
 def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links, of each document."""
     spark = documents.sparkSession
@@ -144,20 +116,20 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     index = sets.select("id", "n", F.explode(prefix).alias("token"))
     first = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "least", "df")
     index = store.write(index.join(first, "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
-    star = index.filter("least <> id").filter(_in_length("n", "least_n", percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = store.write(_verified(star, sets, percent), "links")
+    star = index.filter("least <> id").filter(in_length("n", "least_n", percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = store.write(verified(star, sets, percent), "links")
     labels = components(links, store)
-    rest = store.write(_split(_labelled(index.select("id", "n", "token"), labels), ["token"]), "rest")
+    rest = store.write(split(labelled(index.select("id", "n", "token"), labels), ["token"]), "rest")
     store.drop(index)
     # sets of one or two tokens have no second token to combine
     single = rest.filter((F.col("df") <= RARE) | (F.col("n") <= 2))
-    links = store.write(links.union(_verified(_across(single, ["token"], percent), sets, percent)), "links")
+    links = store.write(links.union(verified(across(single, ["token"], percent), sets, percent)), "links")
     labels = components(links, store)
-    rest = store.write(_split(_labelled(rest.filter(F.col("df") > RARE), labels), ["token"]), "rest")
+    rest = store.write(split(labelled(rest.filter(F.col("df") > RARE), labels), ["token"]), "rest")
     of_set = rest.groupBy("id", "n", "component").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     pair = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     combos = of_set.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", F.col("pair.x").alias("t"), F.col("pair.y").alias("u"))
-    links = store.write(links.union(_verified(_across(_split(combos, ["t", "u"]), ["t", "u"], percent), sets, percent)), "links")
+    links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent), sets, percent)), "links")
     labels = components(links, store)
     joined = sets.select("id", "class").join(labels, F.col("id") == F.col("node")).select("class", "component")
     member = scanned.select("doc_id", "class", "n").join(small(joined), "class", "left")

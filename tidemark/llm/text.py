@@ -66,7 +66,19 @@ def _piece_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.nd
 
 def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the offsets of the texts in them."""
+    hashes, _, offsets = _words(*text_bytes(column), lower)
+    return hashes, offsets
+
+
+def words_and_lines(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words, and the sorted word offsets at which lines (parted by \\n) or texts start."""
     data, offsets = text_bytes(column)
+    hashes, starts, of_text = _words(data, offsets, lower)
+    lines = np.searchsorted(starts, np.flatnonzero(data == 0x0A)).astype(np.int64)
+    return hashes, of_text, np.unique(np.concatenate([lines, of_text]))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
@@ -87,19 +99,29 @@ def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray
         hashes.append(h)
         at = end
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    at_bytes = np.concatenate(starts)
+    return np.concatenate(hashes), at_bytes, np.searchsorted(at_bytes, offsets).astype(np.int64)
 
 
 def shingles(column: pa.Array, width: int = WIDTH, lower: bool = True) -> list[np.ndarray]:
     """Of each text the sorted distinct shingles; all its words as one shingle if it has fewer."""
     word, offsets = words(column, lower)
-    out, tag = [], np.uint64(width)
+    return sets(word, windows(word, width), offsets, width)
+
+
+def windows(word: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The hash of the ``width`` words from each word on."""
     total = np.zeros(max(0, len(word) - width + 1), np.uint64)
-    for j in range(width):
-        total += word[j : len(word) - width + 1 + j] * _PLACE[j] if len(total) else total
-    total = mix(total + tag)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+    for j in range(width if len(total) else 0):
+        total += word[j : len(word) - width + 1 + j] * _PLACE[j]
+    return mix(total + np.uint64(width))
+
+
+def sets(word: np.ndarray, total: np.ndarray, offsets: np.ndarray, width: int = WIDTH, ends: np.ndarray | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingles of each run of words (from each offset to the next, or to its end)."""
+    out = []
+    for a, b in zip(offsets.tolist() if ends is not None else offsets[:-1].tolist(), (offsets[1:] if ends is None else ends).tolist(), strict=True):
         if b - a >= width:
             out.append(np.unique(total[a : b - width + 1]))
         elif b > a:
