@@ -138,3 +138,14 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = member.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     out = member.join(least, "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents without those that reach one with a lesser doc_id.
+
+    Of rows that share a doc_id and a component all stay or go with that id; rows
+    without tokens, and those of a null doc_id that no other row reaches, stay.
+    """
+    found = similar(documents, percent).filter((F.col("component_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
+    gone = small(Durable(documents.sparkSession, "ngram-join").write(found.select(F.col("doc_id").alias("_gone_id")).distinct(), "gone"))
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")

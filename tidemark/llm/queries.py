@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, ngram_join, packing, quality, sharding, token_counts
+from tidemark.llm import ann, bpe, licenses, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, token_counts
 from tidemark.llm.runtime import Durable
 
 
@@ -43,6 +43,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
@@ -55,8 +59,16 @@ def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir)).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_quality_bands, op3_ngram_join, op4_token_counts, op6_line_templates, op7_bpe_round_trip, op8_length_buckets)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_quality_bands, op3_ngram_join, op4_token_counts, op5_licence_sentences, op6_line_templates, op7_bpe_round_trip, op8_length_buckets, op9_hilbert_neighbours, op10_paragraph_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
