@@ -17,14 +17,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of it and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the least of these."""
     down = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a > b
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select("m", "b").union(least.select("m", F.col("a").alias("b")))
+    moved = down.join(least.hint("merge"), "a").select("m", "b").union(least.select("m", F.col("a").alias("b")))
     return moved.select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 

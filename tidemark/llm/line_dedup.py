@@ -54,14 +54,14 @@ def dropped(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CO
     held = lines.groupBy("leaf", "hash", "n", "key").agg(F.min("doc_id").alias("doc_id"))  # a document once for each distinct line
     of_line = held.groupBy("leaf", "hash", "n").agg(F.count(F.lit(1)).alias("docs"))
     in_leaf = of_line.groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    of_line = store.write(of_line.join(in_leaf.select("leaf"), "leaf", "left_semi"), "leaves")
+    of_line = store.write(of_line.join(in_leaf.select("leaf").hint("merge"), "leaf", "left_semi"), "leaves")
     leaves = of_line.select("leaf").distinct()
     texts = _lines(documents).select("leaf", "hash", "n", "line").join(small(leaves), "leaf", "left_semi")
     texts = texts.groupBy("hash").agg(F.first("line").alias("line"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
     tokens = texts.join(of_line.select("hash", "docs"), "hash").select("leaf", "hash", "n", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = store.write(tokens.select("leaf", "hash", "n", "docs", "at", F.xxhash64("at", "token").alias("word")), "tokens")
     support = tokens.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "word")
-    kept = tokens.join(support, ["leaf", "word"], "left_semi")
+    kept = tokens.join(support.hint("merge"), ["leaf", "word"], "left_semi")
     shapes = kept.groupBy("leaf", "hash", "n").agg(F.bit_xor("word").alias("template"), F.bit_xor(F.xxhash64("word", "at")).alias("shape"), F.count(F.lit(1)).alias("fixed"))
     shapes = shapes.filter(F.col("fixed") >= constant * F.col("n")).select("leaf", "hash", "template", "shape")
     of_template = held.join(shapes, ["leaf", "hash"]).groupBy("leaf", "template", "shape", "key").agg(F.min("doc_id").alias("doc_id"))

@@ -93,7 +93,7 @@ def _alive(rows: DataFrame, node: list[str], part: float) -> DataFrame:
     tokens = rows.select(number, F.explode("tokens").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("token")
     held = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("held"))
-    return rows.select(*node, "n", number).join(held, "h").filter(F.col("held") >= _k(F.col("n"), part)).select(*node, "n")
+    return rows.select(*node, "n", number).join(held.hint("merge"), "h").filter(F.col("held") >= _k(F.col("n"), part)).select(*node, "n")
 
 
 def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -103,19 +103,19 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     scanned = store.write(_scan(documents, percent, 0.05, False), "prefixes")
     classes = scanned.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     classes = store.write(classes, "classes")
-    live = store.write(classes.select("class", "doc_id").join(_alive(classes, ["class"], 0.05).select("class"), "class"), "live")
+    live = store.write(classes.select("class", "doc_id").join(_alive(classes, ["class"], 0.05).select("class").hint("merge"), "class"), "live")
     store.drop(classes)
     wanted = small(live.select(F.col("doc_id").alias("wanted")).distinct())
     rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     full = _scan(rows, percent, 0.0, True).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"))
     full = store.write(full.select(F.monotonically_increasing_id().alias("id"), "class", "n", "tokens"), "sets")
     some = F.slice("tokens", 1, (_errors(percent) + _k(F.col("n"), 0.3)).cast("int"))
-    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3).select("id"), "id", "left_semi"), "live-sets")
+    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3).select("id").hint("merge"), "id", "left_semi"), "live-sets")
     store.drop(full)
     prefix = F.slice("tokens", 1, (_errors(percent) + 2).cast("int"))
     index = sets.select("id", "n", F.explode(prefix).alias("token"))
     first = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "least", "df")
-    index = store.write(index.join(first, "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
+    index = store.write(index.join(first.hint("merge"), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
     star = index.filter("least <> id").filter(in_length("n", "least_n", percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = store.write(verified(star, sets, percent), "links")
     labels = components(links, store)
@@ -129,6 +129,7 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_set = rest.groupBy("id", "n", "component").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     pair = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     combos = of_set.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", F.col("pair.x").alias("t"), F.col("pair.y").alias("u"))
+    combos = store.write(combos, "combinations")
     links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent), sets, percent)), "links")
     labels = components(links, store)
     joined = sets.select("id", "class").join(labels, F.col("id") == F.col("node")).select("class", "component")

@@ -4,6 +4,9 @@ An index has rows (id, n, entry columns): the sets that share an entry are
 candidates of each other.  ``link`` first verifies an entry's members against its
 least member only.  Entries whose members then lie in one component need no more
 links; the members of the others are verified across components.
+
+Spark takes the size of a table before ``explode`` for its size after it, so joins
+of such tables are told to shuffle: a wrong guess would broadcast them.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union; sets has id and tokens (distinct)."""
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -27,7 +30,7 @@ def in_length(n: str, m: str, percent: int) -> Column:
 def star(index: DataFrame, by: list[str], percent: int) -> DataFrame:
     """Each entry's least member with every other one that it can be linked to."""
     least = index.groupBy(*by).agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select(*by, F.col("least.id").alias("a"), F.col("least.n").alias("na"))
-    both = index.join(least, by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
+    both = index.join(least.hint("merge"), by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
     return both.select("a", F.col("id").alias("b")).distinct()
 
 
@@ -35,16 +38,16 @@ def across(index: DataFrame, by: list[str], percent: int) -> DataFrame:
     """Pairs of members of one entry that lie in different components and can be linked."""
     x = index.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     y = index.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y, by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_length("na", "nb", percent)).select("a", "b").distinct()
+    return x.join(y.hint("merge"), by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_length("na", "nb", percent)).select("a", "b").distinct()
 
 
 def split(index: DataFrame, by: list[str]) -> DataFrame:
     """Index rows of entries with members in two components or more, with the entry's number of members (df)."""
     held = index.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).filter("low <> high").select(*by, "df")
-    return index.join(held, by)
+    return index.join(held.hint("merge"), by)
 
 
 def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with each set's component, itself where it has no link."""
     index = index.drop("component", "df")
-    return index.join(labels, index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    return index.join(labels.hint("merge"), index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")

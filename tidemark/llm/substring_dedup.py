@@ -158,13 +158,13 @@ def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent:
     lines = store.write(lines, "lines")
     index = lines.select("digest", "key", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
-    index = store.write(index.join(met, "band"), "collisions")
+    index = store.write(index.join(met.hint("merge"), "band"), "collisions")
     wanted = small(index.select("key").distinct())
     digests = small(index.select("digest").distinct())
     texts = documents.select("doc_id", "text", _key()).join(wanted, "key", "left_semi")
     sets = _line_sets(texts).join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     sets = store.write(sets.select(F.col("digest").alias("id"), F.size("tokens").alias("n"), "tokens"), "sets")
-    index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n"), "id"), "index")
+    index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n").hint("merge"), "id"), "index")
     links = store.write(verified(star(index, ["band"], percent), sets, percent), "links")
     rest = split(labelled(index, components(links, store)), ["band"])
     links = store.write(links.union(verified(across(rest, ["band"], percent), sets, percent)), "links")
@@ -178,7 +178,7 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = _near_lines(documents, units, store, percent)
     near = store.write(units.filter(F.col("kind") == _LINE).select("doc_id", "key", "start", "n", "digest").join(small(out), "digest"), "near-lines")
     first = near.groupBy("cluster").agg(_first(), F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cluster", "first")
-    paragraphs = near.join(first, "cluster").select("doc_id", "key", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("key") != F.col("first.key")).alias("removed"))
+    paragraphs = near.join(first.hint("merge"), "cluster").select("doc_id", "key", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("key") != F.col("first.key")).alias("removed"))
 
     pieces = units.filter(F.col("kind") == _PIECE).select("doc_id", "key", "start", "n", "digest").repartition("digest")
     first = pieces.groupBy("digest").agg(_first(), F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("digest", "first")
