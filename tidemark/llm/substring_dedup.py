@@ -10,7 +10,7 @@ of two kinds, as a copied passage may fill whole lines or stand inside of one:
 * pieces between content-defined anchors, which lie where a shingle's hash is the
   least of a window of ``WINDOW`` shingles.  They are at most ``WINDOW`` words
   apart and depend only on the words around them, so any passage of 50 words
-  holds whole pieces wherever it stands.  Their one band is the hash of all their
+  holds whole pieces of 28 words or more wherever it stands.  Their one band is the hash of all their
   words, so pieces that collide are equal.
 
 Clusters are the components of verified links between lines, and the groups of
@@ -40,7 +40,7 @@ from tidemark.llm.similarity import across, labelled, split, star, verified
 PERCENT = 80
 #: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS.
 ROWS, BANDS = 2, 6
-MIN_LINE, MIN_PASSAGE, WINDOW = 25, 28, 20
+MIN_LINE, MIN_PASSAGE, WINDOW = 25, 28, 10
 _PIECE, _LINE = 0, 1
 _seeds = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
