@@ -6,6 +6,7 @@ import logging
 import os
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
@@ -196,7 +197,7 @@ class TableSource:
         from tidemark.table import DeltaTable
 
         table = DeltaTable(session(), self.path)
-        adds = [{"path": e.path, "partitionValues": e.partition} for e in batch.file_entries or ()]
+        adds = [{"path": quote(e.path, safe="/=-_.~:"), "partitionValues": e.partition} for e in batch.file_entries or ()]
         snap = table.snapshot()
         return table.read_adds(adds, snap) if snap.schema is not None else read_files(batch.files, "parquet")
 

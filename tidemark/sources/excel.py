@@ -50,7 +50,8 @@ def _column(reference: str) -> int:
 def parse(data: bytes) -> tuple[list[str], list[list[Any]]]:
     """Column names and rows; numbers are int or float, dates datetime, the rest str, bool or None."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        strings = [("".join(t.text or "" for t in s.iter(f"{_MAIN}t"))) for s in (_part(book, "xl/sharedStrings.xml") or ())]
+        shared = _part(book, "xl/sharedStrings.xml")
+        strings = [("".join(t.text or "" for t in s.iter(f"{_MAIN}t"))) for s in (shared if shared is not None else ())]
         styles = _part(book, "xl/styles.xml")
         dated: list[bool] = []
         if styles is not None:

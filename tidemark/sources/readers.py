@@ -64,7 +64,10 @@ def read_files(files: list[str], file_format: str = "parquet", *, spark: SparkSe
     elif kind == "csv":
         out = (reader if schema is not None else reader.option("inferSchema", True)).option("header", (options or {}).get("header", True)).csv(paths)
     elif kind == "json":
-        out = reader.option("multiLine", True).json(paths)
+        if paths == files or with_order:
+            out = reader.option("multiLine", True).json(paths)
+        else:  # Spark infers the schema of documents by a listing that takes escaped names for others
+            out = reader.json(spark.read.text(paths, wholetext=True).rdd.map(lambda r: r.value))
     elif kind == "ndjson":
         out = reader.json(paths)
     elif kind == "avro":
