@@ -12,10 +12,13 @@ least k tokens among the first e + k of each.  So
 1. a class stays live only while at least k(n) of its first e + k(n) tokens occur
    in other live classes; this drops most of a corpus by one narrow shuffle, and
    a longer extended prefix of the full sets drops most of the rest;
-2. the first e + 2 tokens of the live classes are indexed: a rare token (at most
-   ``RARE`` classes) by itself, the frequent ones in combinations of two.  Two
-   linked sets share two tokens there: a rare one among them, or a pair of
-   frequent ones.  Sets of one token are indexed by it alone;
+2. the first e + m + 1 tokens of the live classes are indexed, m being about an
+   eighth of n: a rare token (at most ``RARE`` classes) by itself.  The frequent
+   tokens fall by hash into m groups and are indexed in combinations of two from
+   one group.  Two linked sets share m + 1 tokens there: a rare one among them, or
+   two frequent ones of one group.  m depends on the power of two below n; as
+   linked sets may have neighbouring powers, each set is indexed under its own m
+   and the next.  So a set has about as many combinations as tokens;
 3. first each index entry's members are verified against its least member only;
    what these links connect needs no further links for its component.  Tokens and
    combinations whose members all lie in one component go.  Then the members of
@@ -87,6 +90,23 @@ def _errors(percent: int) -> Column:
     return F.expr(f"n - (n * {percent} + 99) div 100")
 
 
+def _level() -> Column:
+    """The power of two below n; at least half of n is in a set that n tokens are linked to."""
+    return F.length(F.bin("n")) - 1
+
+
+def _groups(level: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), level - 4))).cast("int")
+
+
+def _combinations(index: DataFrame) -> DataFrame:
+    """Index rows of pairs (t, u) of a set's tokens in one of its groups."""
+    rows = index.withColumn("m", F.explode(F.array_distinct(F.array(_groups(_level()), _groups(_level() + 1)))))
+    grouped = rows.groupBy("id", "n", "component", "m", F.pmod(F.xxhash64("token"), F.col("m")).alias("g")).agg(F.array_sort(F.collect_list("token")).alias("tokens")).filter(F.size("tokens") > 1)
+    pair = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.struct(x.alias("t"), y.alias("u")))))
+    return grouped.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", "pair.t", "pair.u").distinct()
+
+
 def _alive(rows: DataFrame, node: list[str], part: float) -> DataFrame:
     """The node columns and n of rows (node, n, tokens) of which enough of the tokens also occur in other rows."""
     number = F.xxhash64(*node).alias("h")
@@ -98,6 +118,8 @@ def _alive(rows: DataFrame, node: list[str], part: float) -> DataFrame:
 
 def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links, of each document."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be from 50 to 100: {percent}")
     spark = documents.sparkSession
     store = Durable(spark, "ngram-join")
     scanned = store.write(_scan(documents, percent, 0.05, False), "prefixes")
@@ -112,7 +134,7 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = F.slice("tokens", 1, (_errors(percent) + _k(F.col("n"), 0.3)).cast("int"))
     sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3).select("id").hint("merge"), "id", "left_semi"), "live-sets")
     store.drop(full)
-    prefix = F.slice("tokens", 1, (_errors(percent) + 2).cast("int"))
+    prefix = F.slice("tokens", 1, (_errors(percent) + _groups(_level() + 1) + 1).cast("int"))
     index = sets.select("id", "n", F.explode(prefix).alias("token"))
     first = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "least", "df")
     index = store.write(index.join(first.hint("merge"), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
@@ -121,15 +143,11 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links, store)
     rest = store.write(split(labelled(index.select("id", "n", "token"), labels), ["token"]), "rest")
     store.drop(index)
-    # sets of one or two tokens have no second token to combine
-    single = rest.filter((F.col("df") <= RARE) | (F.col("n") <= 2))
+    single = rest.filter(F.col("df") <= RARE)
     links = store.write(links.union(verified(across(single, ["token"], percent), sets, percent)), "links")
     labels = components(links, store)
     rest = store.write(split(labelled(rest.filter(F.col("df") > RARE), labels), ["token"]), "rest")
-    of_set = rest.groupBy("id", "n", "component").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    pair = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    combos = of_set.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", F.col("pair.x").alias("t"), F.col("pair.y").alias("u"))
-    combos = store.write(combos, "combinations")
+    combos = store.write(_combinations(rest), "combinations")
     links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent), sets, percent)), "links")
     labels = components(links, store)
     joined = sets.select("id", "class").join(labels, F.col("id") == F.col("node")).select("class", "component")
