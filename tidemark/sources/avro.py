@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import UnsupportedFormatError
 from tidemark.fs import escape_glob
+from tidemark.session import ship
 
 _PRIMITIVES = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
 
@@ -169,6 +170,7 @@ def read_avro(spark: SparkSession, files: list[str]) -> DataFrame:
         return spark.read.format("avro").load(paths)
     except Exception:  # the module is not there
         pass
+    ship(spark)
     head = spark.read.format("binaryFile").load(paths[0]).selectExpr("substring(content, 1, 1048576) AS head").first().head
     schema = spark_type(json.loads(_header(_Reader(bytes(head)))[0]["avro.schema"]), {})
     if not isinstance(schema, T.StructType):

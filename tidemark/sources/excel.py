@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import UnsupportedFormatError
 from tidemark.fs import escape_glob
+from tidemark.session import ship
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -115,6 +116,7 @@ def read_excel(spark: SparkSession, files: list[str], schema: T.StructType | Non
     """The rows of workbooks with the same columns; types from the first workbook unless a schema is given."""
     if any(f.lower().endswith(".xls") for f in files):
         raise UnsupportedFormatError("the old binary .xls format is not supported; save as .xlsx")
+    ship(spark)
     scan = spark.read.format("binaryFile").load([escape_glob(f) for f in files]).select("content")
     if schema is None:
         names, rows = parse(bytes(spark.read.format("binaryFile").load(escape_glob(files[0])).select("content").first().content))

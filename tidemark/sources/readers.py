@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark.errors import UnsupportedFormatError
 from tidemark.fs import escape_glob, is_local, local_path
 from tidemark.operators.union import relaxed_union, vertical
+from tidemark.session import ship
 
 FILE, ROW = "__file", "__row"
 FORMATS = {"xlsx": "excel", "xls": "excel", "jsonl": "ndjson", "parq": "parquet"}
@@ -90,21 +91,36 @@ def _parquet(spark: SparkSession, files: list[str], with_order: bool, relaxed: b
     return frames[0] if len(frames) == 1 else relaxed_union(frames) if relaxed else vertical(frames)
 
 
-def _by_schema(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """The files grouped by the columns and types in their footers."""
-    if len(files) == 1 or not all(is_local(f) for f in files):
-        return [files]
+#: Footers that the driver reads itself; more are read by tasks.
+FOOTERS = 64
+
+
+def footer_schema(path: str) -> str:
+    """The columns and types in a Parquet file's footer, or in that of a folder's first file."""
     import os
 
     import pyarrow.parquet as pq
 
+    if os.path.isdir(path):
+        parts = sorted(p for p in os.listdir(path) if p.endswith(".parquet"))
+        if not parts:
+            return ""
+        path = os.path.join(path, parts[0])
+    return str(pq.read_schema(path).remove_metadata())
+
+
+def _by_schema(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """The files grouped by the columns and types in their footers."""
+    if len(files) == 1 or not all(is_local(f) for f in files):
+        return [files]
+    if len(files) <= FOOTERS:
+        found = map(footer_schema, files)
+    else:
+        ship(spark)
+        found = spark.sparkContext.parallelize(files, min(len(files) // 16, 10_000)).map(footer_schema).collect()
     groups: dict[str, list[str]] = defaultdict(list)
-    for f in files:
-        if os.path.isdir(f):
-            parts = sorted(p for p in os.listdir(f) if p.endswith(".parquet"))
-            groups[str(pq.read_schema(os.path.join(f, parts[0])).remove_metadata()) if parts else "empty"].append(f)
-        else:
-            groups[str(pq.read_schema(f).remove_metadata())].append(f)
+    for path, schema in zip(files, found, strict=True):
+        groups[schema].append(path)
     return list(groups.values())
 
 
