@@ -60,10 +60,10 @@ def test_slot_maps(spark, tmp_path):
     sizes = {s: rng.randint(1, 1000) for s in range(512)}
     one = sharding.SlotMap.first(sizes, 8, 512)
     two = one.rebalanced(sizes, 9)
-    load = lambda m: Counter({s: 0 for s in range(m.shards)}) + Counter()  # noqa: E731, F841
     total = [sum(sizes[s] for s, sh in enumerate(two.shard_of) if sh == k) for k in range(9)]
     assert max(total) - min(total) < 0.02 * sum(total)
-    assert {b for a, b in zip(one.shard_of, two.shard_of, strict=True) if a != b} == {8}
+    moved = [b for a, b in zip(one.shard_of, two.shard_of, strict=True) if a != b]
+    assert len(moved) < 1.3 * 512 / 9 and moved.count(8) > 0.9 * len(moved)
     back = two.rebalanced(sizes, 8)
     assert max(back.shard_of) == 7 and back.version == 3
     one.save(spark, str(tmp_path))
@@ -180,7 +180,7 @@ def test_line_templates(spark):
     pairs = line_corpus()
     want = plain_lines(pairs, 6, 0.75)
     got = line_dedup.line_dedup(documents(spark, pairs)).collect()
-    assert len(got) == len(pairs) and sum(map(len, want.values())) > 40
+    assert len(got) == len(pairs) and sum(map(len, want.values())) > 20
     expected = Counter((i, len((t or "").split("\n")) if t is not None else 0, ",".join(map(str, sorted(want.get((i, t), ()))))) for i, t in pairs)
     assert Counter((r.doc_id, r.n_lines, r.dropped_lines) for r in got) == expected
     kept = Counter((r.doc_id, r.text) for r in line_dedup.without_lines(documents(spark, pairs)).collect())
@@ -361,6 +361,8 @@ def test_neighbours(spark, kind):
         data *= rng.exponential(size=(600, 1)) + 0.1
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(data)]
     rows += [(None, [1.0] * 8), (1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [None] * 8), (1080, [float("inf")] * 8), (1100, [1.0]), (3, rows[3][1])]
+    if kind == "ties":
+        rows += [(101, rows[101][1])] * 40
     df = spark.createDataFrame([(i, v, 1, 0.5) for i, v in rows], "vec_id long, embedding array<float>, label int, score double")
     got = defaultdict(list)
     for r in ann.neighbours(df, reach=8).orderBy("query_id", "rank").collect():

@@ -108,8 +108,11 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best rows, ties to the smaller id."""
-    order = np.lexsort((vec, -score, query))
+    """Places of each query's k best rows, ties to the smaller id; an id counts once."""
+    order = np.lexsort((-score, vec, query))
+    q, v = query[order], vec[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])]] if len(order) else order
+    order = order[np.lexsort((vec[order], -score[order], query[order]))]
     q = query[order]
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
@@ -145,9 +148,11 @@ def _keyed(rows: DataFrame, curves: Curves, k: int, every: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             same = np.unique(vectors[order], axis=0, return_inverse=True)[1].reshape(-1)
             candidate = np.zeros(len(ids), bool)
-            by = np.argsort(same, kind="stable")
-            first = np.flatnonzero(np.r_[True, same[by][1:] != same[by][:-1]])
-            rank = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+            by = np.lexsort((ids[order], same))
+            group, own = same[by], ids[order][by]
+            begins = np.r_[True, group[1:] != group[:-1]]
+            number = np.cumsum(begins | np.r_[True, own[1:] != own[:-1]])  # distinct ids so far
+            rank = number - np.maximum.accumulate(np.where(begins, number, 0))
             candidate[order[by[rank <= k]]] = True
             rows = pa.array(np.flatnonzero(candidate | (ids % every == 0)))
             vectors, flag = vectors[rows.to_numpy()], pa.array(candidate).take(rows)

@@ -3,42 +3,16 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parent.parent
-#: Rows of at most two longs that may be broadcast (32 MB); larger tables are shuffled.
-BROADCAST_ROWS = 1_000_000
-
+from tidemark.session import scratch, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a Spark application."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), f"{_PACKAGE.name}.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(_PACKAGE.rglob("*.py")):
-            out.write(file, file.relative_to(_PACKAGE.parent))
-    context.addPyFile(target)
-    context._tidemark_shipped = True
+__all__ = ["BROADCAST_ROWS", "Durable", "ship", "shuffle_partitions", "small"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Rows of at most two longs that may be broadcast (32 MB); larger tables are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 class Durable:
@@ -46,7 +20,7 @@ class Durable:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        self.root = scratch(spark, name)
         self.count = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

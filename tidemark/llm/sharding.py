@@ -44,8 +44,8 @@ class SlotMap:
             heapq.heappush(heap, (load + sizes.get(slot, 0), shard))
         return cls(1, shards, tuple(out))
 
-    def rebalanced(self, sizes: dict[int, int], shards: int) -> SlotMap:
-        """The next version: slots of shards that are gone move, then slots move from the heaviest shard to the lightest while that lowers the difference."""
+    def rebalanced(self, sizes: dict[int, int], shards: int, tolerance: float = 0.02) -> SlotMap:
+        """The next version: slots of shards that are gone move, then slots move from the heaviest shard to the lightest until these differ by no more than a share of the mean, or no move helps."""
         out, load = list(self.shard_of), [0] * shards
         members: list[list[int]] = [[] for _ in range(shards)]
         loose = []
@@ -62,6 +62,8 @@ class SlotMap:
         for _ in range(len(out)):
             high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
             gap = load[high] - load[low]
+            if gap * shards <= tolerance * sum(load):
+                break
             fits = [s for s in members[high] if 0 < sizes.get(s, 0) < gap]
             if not fits:
                 break
