@@ -85,11 +85,11 @@ def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float =
 
 def without_lines(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """The documents with their texts less the dropped lines; those that lose every line with a token go."""
-    gone = small(dropped(documents, min_docs, constant)).alias("g")
-    rows = documents.withColumn("_key", _key()).alias("r")
-    both = rows.join(gone, (F.col("r._key") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    gone = small(Durable(documents.sparkSession, "line-dedup").write(dropped(documents, min_docs, constant), "dropped")).alias("g")
+    rows = documents.withColumn("__key", _key()).alias("r")
+    both = rows.join(gone, (F.col("r.__key") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     parts = F.split("r.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("g.dropped"))
     text = F.when(F.col("g.dropped").isNull(), F.col("r.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    both = both.select(*(text.alias("text") if c == "text" else F.col(f"r.`{c}`") for c in documents.columns), F.col("g.dropped").isNotNull().alias("_cut"))
-    return both.filter(~F.col("_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_cut")
+    both = both.select(*(text.alias("text") if c == "text" else F.col(f"r.`{c}`") for c in documents.columns), F.col("g.dropped").isNotNull().alias("__cut"))
+    return both.filter(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
