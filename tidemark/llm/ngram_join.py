@@ -25,7 +25,8 @@ least k tokens among the first e + k of each.  So
    what remains are verified across components, in two steps: pairs with rare
    tokens, then pairs with combinations of frequent tokens.
 
-Each verification compares the whole sets.  The components come from all
+Pairs that the sets' parity bitmaps rule out (Sandes et al. 2017) never leave the
+join that finds them.  Each verification compares the whole sets.  The components come from all
 verified links; a link within a component that step 3 leaves out joins nothing.
 
 Null, empty and white-space texts have no tokens and are components of their own.
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.runtime import Durable, ship, small
-from tidemark.llm.similarity import across, in_length, labelled, split, verified
+from tidemark.llm.similarity import WORDS, across, bitmap, in_length, labelled, split, verified
 
 PERCENT, RARE = 80, 24
 
@@ -61,10 +62,11 @@ def _share(n, part: float):
 
 
 def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFrame:
-    """Of each row: doc_id, class (digest of the token set), n, and its first tokens or, with ``full``, all of them."""
+    """Of each row: doc_id, class (digest of the token set), n, and its first tokens or, with ``full``, all of them and their bitmap."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
+    names = ["doc_id", "class", "n", "tokens"] + ["bits"] * full
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in parts:
@@ -76,10 +78,14 @@ def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFr
                 ends = n if full else np.minimum(n, _missing(n, percent) + _share(n, part))
                 flat = np.concatenate([s[:e] for s, e in zip(sets, ends.tolist(), strict=True)]).view(np.int64) if sets else np.zeros(0, np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), digest, pa.array(n), tokens], ["doc_id", "class", "n", "tokens"])
+                columns = [rows.column("doc_id"), digest, pa.array(n), tokens]
+                if full:
+                    maps = np.concatenate([bitmap(s) for s in sets]) if sets else np.zeros(0, np.int64)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(maps)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, class binary, n long, tokens array<long>")
+    return documents.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, class binary, n long, tokens array<long>" + ", bits array<long>" * full)
 
 
 def _k(n: Column, part: float) -> Column:
@@ -129,8 +135,8 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     store.drop(classes)
     wanted = small(live.select(F.col("doc_id").alias("wanted")).distinct())
     rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    full = _scan(rows, percent, 0.0, True).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"))
-    full = store.write(full.select(F.monotonically_increasing_id().alias("id"), "class", "n", "tokens"), "sets")
+    full = _scan(rows, percent, 0.0, True).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+    full = store.write(full.select(F.monotonically_increasing_id().alias("id"), "class", "n", "tokens", "bits"), "sets")
     some = F.slice("tokens", 1, (_errors(percent) + _k(F.col("n"), 0.3)).cast("int"))
     sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3).select("id").hint("merge"), "id", "left_semi"), "live-sets")
     store.drop(full)
@@ -144,11 +150,11 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = store.write(split(labelled(index.select("id", "n", "token"), labels), ["token"]), "rest")
     store.drop(index)
     single = rest.filter(F.col("df") <= RARE)
-    links = store.write(links.union(verified(across(single, ["token"], percent), sets, percent)), "links")
+    links = store.write(links.union(verified(across(single, ["token"], percent, sets), sets, percent)), "links")
     labels = components(links, store)
     rest = store.write(split(labelled(rest.filter(F.col("df") > RARE), labels), ["token"]), "rest")
     combos = store.write(_combinations(rest), "combinations")
-    links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent), sets, percent)), "links")
+    links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent, sets), sets, percent)), "links")
     labels = components(links, store)
     joined = sets.select("id", "class").join(labels, F.col("id") == F.col("node")).select("class", "component")
     member = scanned.select("doc_id", "class", "n").join(small(joined), "class", "left")

@@ -11,7 +11,11 @@ of such tables are told to shuffle: a wrong guess would broadcast them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add, and_
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,11 +38,51 @@ def star(index: DataFrame, by: list[str], percent: int) -> DataFrame:
     return both.select("a", F.col("id").alias("b")).distinct()
 
 
-def across(index: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of members of one entry that lie in different components and can be linked."""
-    x = index.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = index.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y.hint("merge"), by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_length("na", "nb", percent)).select("a", "b").distinct()
+#: Words of a bitmap.
+WORDS = 16
+#: Earlier entries of a set that travel with an index row.
+EARLIER = 4
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Of each of 64 * WORDS bits whether an odd number of the tokens falls on it.
+
+    A token in one of two sets and not the other changes at most one bit, so the
+    bitmaps of two sets differ in no more bits than the sets in tokens.
+    """
+    odd = (np.bincount((tokens >> np.uint64(17)) % np.uint64(64 * WORDS), minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _meetings(index: DataFrame, by: list[str], extra: DataFrame, columns: list[Column], percent: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of a join of an index with itself, and the condition that a pair of rows is worth a look.
+
+    The two sets lie in different components, and their lengths allow a link.  Two
+    sets may meet in many entries: in the order of the entries' hashes a meeting is
+    passed over if the sets also share one of the ``EARLIER`` entries before it, so
+    that their first meeting always counts and few others do.  ``columns`` of
+    ``extra`` (by id) travel with the rows.
+    """
+    before = [f"p{i}" for i in range(EARLIER)]
+    order = Window.partitionBy("id").orderBy("h")
+    index = index.select(F.xxhash64(*by).alias("h"), "id", "component", "n")
+    index = index.select("*", *(F.coalesce(F.lag("h", i + 1).over(order), F.xxhash64("id", F.lit(i))).alias(p) for i, p in enumerate(before)))
+    index = index.join(extra.select("id", *columns).hint("merge"), "id")
+    x, y = (index.withColumnsRenamed({c: f"{c}_{side}" for c in index.columns}) for side in "xy")
+    near = (F.col("h_x") == F.col("h_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & in_length("n_x", "n_y", percent)
+    return x, y, near & reduce(and_, (F.col(f"{p}_x") != F.col(f"{q}_y") for p in before for q in before))
+
+
+def across(index: DataFrame, by: list[str], percent: int, bitmaps: DataFrame) -> DataFrame:
+    """Pairs of members of one entry that lie in different components and can be linked.
+
+    Pairs whose bitmaps (id, bits) differ in too many bits for a link never leave the join.
+    """
+    words = [f"w{i}" for i in range(WORDS)]
+    x, y, near = _meetings(index, by, bitmaps, [F.col("bits")[i].alias(w) for i, w in enumerate(words)], percent)
+    differ = reduce(add, (F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words))
+    near = near & (differ * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
+    return x.join(y.hint("merge"), near).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def split(index: DataFrame, by: list[str]) -> DataFrame:
@@ -51,3 +95,15 @@ def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with each set's component, itself where it has no link."""
     index = index.drop("component", "df")
     return index.join(labels.hint("merge"), index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+
+
+def linked_across(index: DataFrame, by: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    """The links between members of one entry that lie in different components.
+
+    For small sets: they travel with the index rows and are compared inside the
+    join, so only links leave it, however many candidates an entry has.
+    """
+    x, y, near = _meetings(index, by, sets, [F.col("tokens")], percent)
+    both = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    near = near & (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both))
+    return x.join(y.hint("merge"), near).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
