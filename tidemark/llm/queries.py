@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, licenses, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from tidemark.llm import ann, bpe, licenses, line_dedup, ngram_join, oracle, packing, quality, sharding, substring_dedup, token_counts
 from tidemark.llm.runtime import Durable
 
 
@@ -64,7 +64,7 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(documents(spark, sf_dir)).drop("key")
+    return substring_dedup.repeats(documents(spark, sf_dir)).drop("who")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": oracle.NGRAM_JOIN, "op6_line_templates": oracle.LINE_TEMPLATES, "op9_hilbert_neighbours": oracle.NEIGHBOURS}

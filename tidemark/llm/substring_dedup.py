@@ -7,16 +7,17 @@ of two kinds, as a copied passage may fill whole lines or stand inside of one:
   of their 5-word shingles find pairs of a similarity of 0.8 with probability
   0.998; each colliding pair that could join two components is verified by the
   exact Jaccard similarity of the shingle sets, which must reach 0.8;
-* pieces between content-defined anchors, which lie where a shingle's hash is the
-  least of a window of ``WINDOW`` shingles.  They are at most ``WINDOW`` words
-  apart and depend only on the words around them, so any passage of 50 words
-  holds whole pieces of 28 words or more wherever it stands.  Their one band is the hash of all their
-  words, so pieces that collide are equal.
+* runs of three pieces between content-defined anchors, which lie where a shingle's
+  hash is the least of a window of ``WINDOW`` shingles.  Anchors are at most
+  ``WINDOW`` words apart and depend only on the words around them, so any passage
+  of 51 words holds whole pieces of 28 words or more, at least three, wherever it
+  stands.  Their one band is the hash of all their words, so runs that collide are
+  equal.
 
 Clusters are the components of verified links between lines, and the groups of
-equal pieces.  A cluster in two documents or more repeats; it is kept in its first
+equal runs.  A cluster in two documents or more repeats; it is kept in its first
 document (least doc_id, null last, then least hash of the row) and removed from
-the others.  Neighbouring repeating pieces make a passage; passages of fewer than
+the others.  Overlapping repeating runs make a passage; passages of fewer than
 ``MIN_PASSAGE`` words are left alone, so a short common line alone is no finding.
 
 A document is a row; rows equal in doc_id and text count as one.  Null, empty and
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.runtime import Durable, ship, small
-from tidemark.llm.similarity import across, labelled, split, star, verified
+from tidemark.llm.similarity import labelled, linked_across, split, star, verified
 
 PERCENT = 80
 #: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS.
@@ -45,8 +46,9 @@ _PIECE, _LINE = 0, 1
 _seeds = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text").alias("key")
+def _who(identified: bool) -> Column:
+    """What tells documents apart: doc_id where it can, else a hash of the row."""
+    return (F.col("doc_id").cast("long") if identified else F.xxhash64("doc_id", "text")).alias("who")
 
 
 def anchors(total: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -92,7 +94,7 @@ def _bands(word: np.ndarray, total: np.ndarray, starts: np.ndarray, ends: np.nda
 
 
 def _units(documents: DataFrame) -> DataFrame:
-    """The paragraphs: key and doc_id, kind, first word, number of words, digest and bands (lines only)."""
+    """The paragraphs: who, kind, first word, number of words, digest and bands (lines only)."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
@@ -114,16 +116,19 @@ def _units(documents: DataFrame) -> DataFrame:
                 line_digest = _hash_runs(word, begins, stops)[long]
                 begins, stops = begins[long], stops[long]
                 bands = _bands(word, total, begins, stops).view(np.int64)
-                start, stop = np.concatenate([cuts, begins]), np.concatenate([ends, stops])
+                pieces, three = _hash_runs(word, cuts, ends), max(0, len(cuts) - 2)
+                of_cut = np.searchsorted(offsets, cuts, "right") - 1
+                whole = np.flatnonzero(of_cut[:three] == of_cut[2:])
+                run = text.mix(pieces[whole] * text._PLACE[0] + pieces[whole + 1] * text._PLACE[1] + pieces[whole + 2] * text._PLACE[2])
+                start, stop = np.concatenate([cuts[whole], begins]), np.concatenate([ends[whole + 2], stops])
                 own = np.searchsorted(offsets, start, "right") - 1
-                kind = np.repeat(np.array([_PIECE, _LINE], np.int8), [len(cuts), len(begins)])
-                digest = np.concatenate([_hash_runs(word, cuts, ends), line_digest]).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(cuts), np.int32), np.arange(len(begins) + 1, dtype=np.int32) * BANDS])), pa.array(bands.reshape(-1)))
-                columns = [rows.column("doc_id").take(pa.array(own)), rows.column("key").take(pa.array(own)), pa.array(kind), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest), listed]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "kind", "start", "n", "digest", "bands"])
+                kind = np.repeat(np.array([_PIECE, _LINE], np.int8), [len(whole), len(begins)])
+                digest = np.concatenate([run, line_digest]).view(np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(whole), np.int32), np.arange(len(begins) + 1, dtype=np.int32) * BANDS])), pa.array(bands.reshape(-1)))
+                columns = [rows.column("who").take(pa.array(own)), pa.array(kind), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["who", "kind", "start", "n", "digest", "bands"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", _key(), "text").mapInArrow(batches, f"doc_id {kind}, key long, kind byte, start int, n int, digest long, bands array<long>")
+    return documents.select("who", "text").mapInArrow(batches, "who long, kind byte, start int, n int, digest long, bands array<long>")
 
 
 def _line_sets(documents: DataFrame) -> DataFrame:
@@ -148,49 +153,76 @@ def _line_sets(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(batches, "digest long, tokens array<long>")
 
 
-def _first(names: str = "first") -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias(names)
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "who")).alias("first")
 
 
 def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent: int) -> DataFrame:
     """digest and cluster of the lines that are linked to a line of other words."""
-    lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
+    lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("who").alias("who"))
     lines = store.write(lines, "lines")
-    index = lines.select("digest", "key", F.explode("bands").alias("band"))
+    index = lines.select("digest", F.explode("bands").alias("band")).repartition("band")
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
-    index = store.write(index.join(met.hint("merge"), "band"), "collisions")
-    wanted = small(index.select("key").distinct())
-    digests = small(index.select("digest").distinct())
-    texts = documents.select("doc_id", "text", _key()).join(wanted, "key", "left_semi")
-    sets = _line_sets(texts).join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    index = store.write(index.join(met.hint("shuffle_hash"), "band"), "collisions")
+    held = store.write(lines.join(small(index.select("digest").distinct()), "digest", "left_semi").select("digest", "who"), "held")
+    store.drop(lines)
+    texts = documents.select("who", "text").join(small(held.select("who").distinct()), "who", "left_semi")
+    sets = _line_sets(texts).join(small(held.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     sets = store.write(sets.select(F.col("digest").alias("id"), F.size("tokens").alias("n"), "tokens"), "sets")
     index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n").hint("merge"), "id"), "index")
     links = store.write(verified(star(index, ["band"], percent), sets, percent), "links")
-    rest = split(labelled(index, components(links, store)), ["band"])
-    links = store.write(links.union(verified(across(rest, ["band"], percent), sets, percent)), "links")
+    rest = store.write(split(labelled(index, components(links, store)), ["band"]), "rest")
+    store.drop(index)
+    links = store.write(links.union(linked_across(rest, ["band"], sets, percent)), "links")
+    store.drop(sets)
+    store.drop(rest)
     return components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
 
 
+def _identified(documents: DataFrame) -> bool:
+    """Whether doc_id tells all rows apart and is a number."""
+    if documents.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    n = documents.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    return n["rows"] == n["ids"]
+
+
 def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row for each repeated passage or paragraph of a document: doc_id, key (hash of the row), kind, start and n (words), kept_in (the first document) and removed."""
+    """One row for each repeated passage or paragraph of a document: doc_id, who (doc_id or a hash of the row), kind, start and n (words), kept_in (the first document) and removed."""
     store = Durable(documents.sparkSession, "substring-dedup")
+    identified = _identified(documents)
+    documents = documents.select("doc_id", "text", _who(identified))
+    known = documents.select("who", "doc_id").distinct()
+    kind = documents.schema["doc_id"].dataType
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("doc_id", F.col("who").cast(kind)) if identified else rows.join(known.hint("merge"), "who")
+
     units = store.write(_units(documents), "units")
-    out = _near_lines(documents, units, store, percent)
-    near = store.write(units.filter(F.col("kind") == _LINE).select("doc_id", "key", "start", "n", "digest").join(small(out), "digest"), "near-lines")
-    first = near.groupBy("cluster").agg(_first(), F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cluster", "first")
-    paragraphs = near.join(first.hint("merge"), "cluster").select("doc_id", "key", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("key") != F.col("first.key")).alias("removed"))
-
-    pieces = units.filter(F.col("kind") == _PIECE).select("doc_id", "key", "start", "n", "digest").repartition("digest")
-    first = pieces.groupBy("digest").agg(_first(), F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("digest", "first")
-    again = store.write(pieces.join(first.hint("shuffle_hash"), "digest").select("doc_id", "key", "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("key") != F.col("first.key")).alias("removed")).distinct(), "pieces")
-    in_text = Window.partitionBy("key", "doc_id").orderBy("start")
-    broken = F.coalesce(F.lag(F.col("start") + F.col("n")).over(in_text) != F.col("start"), F.lit(True))
+    clusters = _near_lines(documents, units, store, percent)
+    near = store.write(named(units.filter(F.col("kind") == _LINE).select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
+    first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
+    paragraphs = near.join(first.hint("merge"), "cluster").select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed"))
+
+    # The one shuffle of all runs carries as little as tells documents and places apart.
+    runs = units.filter(F.col("kind") == _PIECE).select("digest", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")).repartition("digest")
+    again = runs.groupBy("digest").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("digest")
+    again = store.write(runs.join(again.hint("shuffle_hash"), "digest", "left_semi"), "repeated")
+    store.drop(units)
+    again = named(again.select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
+    first = again.groupBy("digest").agg(_first())
+    again = store.write(again.join(first.hint("merge"), "digest").select("doc_id", "who", "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "runs")
+    in_text = Window.partitionBy("who").orderBy("start")
+    reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    broken = F.coalesce(reached <= F.col("start"), F.lit(True))
     changed = broken | (F.lag("removed").over(in_text) != F.col("removed"))
-    runs = again.withColumn("_b", broken.cast("int")).withColumn("_c", changed.cast("int"))
-    runs = runs.withColumn("run", F.sum("_b").over(in_text)).withColumn("part", F.sum("_c").over(in_text))
-    runs = runs.withColumn("words", F.sum("n").over(Window.partitionBy("key", "doc_id", "run"))).filter(F.col("words") >= MIN_PASSAGE)
-    passages = runs.groupBy("key", "doc_id", "part", "removed").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("kept_in").alias("kept_in"))
-    return passages.select("doc_id", "key", F.lit("passage").alias("kind"), "start", "n", "kept_in", "removed").unionByName(paragraphs)
+    rows = again.withColumn("_b", broken.cast("int")).withColumn("_c", changed.cast("int"))
+    rows = rows.withColumn("run", F.sum("_b").over(in_text)).withColumn("part", F.sum("_c").over(in_text))
+    whole = Window.partitionBy("who", "run")
+    rows = rows.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= MIN_PASSAGE)
+    n = F.max(F.col("start") + F.col("n")) - F.min("start")
+    passages = rows.groupBy("who", "part").agg(F.first("doc_id").alias("doc_id"), F.first("removed").alias("removed"), F.min("start").alias("start"), n.cast("int").alias("n"), F.min("kept_in").alias("kept_in"))
+    return passages.select("doc_id", "who", F.lit("passage").alias("kind"), "start", "n", "kept_in", "removed").unionByName(paragraphs)
 
 
 def without_repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,17 +232,17 @@ def without_repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     from pyspark.sql.types import StructType
 
-    gone = repeats(documents, percent).filter("removed").groupBy("key", "doc_id").agg(F.collect_set(F.struct("start", "n")).alias("_gone"))
-    rows = documents.withColumn("_key", F.xxhash64("doc_id", "text")).alias("r")
-    gone = gone.alias("g")
-    both = rows.join(gone, (F.col("r._key") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("r.*", "g._gone").drop("_key")
+    identified = _identified(documents)
+    gone = repeats(documents, percent).filter("removed").groupBy("who").agg(F.collect_set(F.struct("start", "n")).alias("__gone")).alias("g")
+    rows = documents.withColumn("__who", _who(identified)).alias("r")
+    both = rows.join(gone, F.col("r.__who") == F.col("g.who"), "left").select("r.*", "g.__gone").drop("__who")
     schema: StructType = documents.schema
     ship(documents.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, keep = part.column("text").to_pylist(), []
-            for i, spans in enumerate(part.column("_gone").to_pylist()):
+            for i, spans in enumerate(part.column("__gone").to_pylist()):
                 if spans:
                     texts[i] = cut(texts[i], [(s["start"], s["n"]) for s in spans])
                 keep.append(not spans or bool(texts[i].strip(" \t\n\v\f\r")))
