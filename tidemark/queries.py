@@ -565,3 +565,169 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stream_files(spark, f"{event_files(spark, sf_dir, root)}/batch=*", table(spark, sf_dir, "events").schema)
     write_available(deduplicated(stream, ["user_id", "event_type"], "ts", "10000 days"), f"{root}/job", f"{root}/out")
     return spark.read.parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# ---- more of each
+
+
+@query(f"{B} SELECT event_id, event_type FROM b WHERE batch >= 1")
+def files_max_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only files not much older than the newest one."""
+    root = scratch(spark, "max-age")
+    source = event_files(spark, sf_dir, root)
+    for f in fs_for(source).list(local_path(source), "*.parquet", True):
+        if is_local(f.path):
+            os.utime(f.path, (1000 + 10 * int(f.path.split("batch=")[1].split("/")[0]),) * 2)
+    run(batches_of(source, max_file_age=20), root, lambda df, batch_id: write_parquet_batch(df, f"{root}/out", batch_id))
+    return sink(spark, f"{root}/out").select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events")
+def files_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files moved to an archive once their batch is committed, and whole there."""
+    root = scratch(spark, "archive")
+    source = batches_of(event_files(spark, sf_dir, root), clean_source="archive", clean_source_archive_dir=f"{root}/archive")
+    run(source, root, lambda df: None)
+    return spark.read.parquet(f"{root}/archive").select("event_id", "event_type")
+
+
+@query(f"{B} SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, CAST(max(ts) AS TIMESTAMP) AS newest FROM b GROUP BY ALL")
+def state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON state that each batch extends."""
+    root = scratch(spark, "state-json")
+
+    def writer(df, batch_id, state):
+        row = df.agg(F.count("*").alias("n"), F.max("ts").cast("string").alias("newest")).first()
+        state.save_json("log", [*state.load_json("log", []), [batch_id, row.n, row.newest]])
+
+    run(batches_of(event_files(spark, sf_dir, root)), root, writer)
+    held = job_state(root).load_json("log", [])
+    return spark.createDataFrame([tuple(r) for r in held], "batch long, n long, newest string").withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM (VALUES ('commit', 4), ('plan', 5), ('reader', 4), ('transform', 4), ('writer', 4)) t(stage, ended)")
+def observed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages as an observer counts them."""
+    root, ended = scratch(spark, "observer"), {}
+
+    class Counting:
+        def on_stage_end(self, stage, batch_id, duration_s, metadata=None):
+            ended[stage] = ended.get(stage, 0) + 1
+
+        def __getattr__(self, name):
+            return lambda *args: None
+
+    run(batches_of(event_files(spark, sf_dir, root)), root, lambda df: None, lambda df: df, observer=Counting())
+    return spark.createDataFrame(sorted(ended.items()), "stage string, ended int")
+
+
+@query("SELECT event_id, user_id AS k, event_type AS note FROM events UNION ALL SELECT NULL AS event_id, c_custkey AS k, NULL AS note FROM customer")
+def union_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of frames with unlike columns of like types."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.col("event_type").alias("note"))
+    return diagonal([events, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))])
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS event_type, CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS rescued FROM events")
+def schema_enum_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values outside of an enumeration are rescued."""
+    rules = SchemaEvolution("coerce", "column", schema={"event_id": "Int64", "event_type": "Enum(categories=['click', 'view'])"})
+    out = rules.apply(table(spark, sf_dir, "events").select("event_type", "event_id"))
+    return out.select("event_id", "event_type", F.col("_rescued.event_type").alias("rescued"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def cdc_ignore_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge that leaves deletes out."""
+    target, changes = _orders(spark, sf_dir)
+    return apply_cdc(changes, target, keys=["o_orderkey"], ignore_delete=True)
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def cdc_append_only_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts appended to a table on disk, without rewriting it."""
+    path = f"{scratch(spark, 'cdc-append')}/orders"
+    target, changes = _orders(spark, sf_dir)
+    write_delta(target, path)
+    apply_cdc_delta(changes, path, keys=["o_orderkey"], mode="append_only")
+    return DeltaTable(spark, path).read()
+
+
+@query(
+    """SELECT o_orderkey, count(*) AS versions FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 2 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 100 <> 12 AND o_orderkey % 10 IN (1, 2))
+GROUP BY o_orderkey HAVING count(*) > 1 OR o_orderkey % 10 = 2"""
+)
+def delta_ignore_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that reads what a merge writes anew: keys seen twice, or only by the merge."""
+    root = scratch(spark, "ignore-changes")
+    target, changes = _orders(spark, sf_dir)
+    path, key = f"{root}/orders", F.col("o_orderkey")
+    write_delta(target.filter(key % 10 == 1).coalesce(1), path)
+    write_delta(target.filter(key % 10 == 0).coalesce(1), path)
+    write_delta(target.filter(key % 10 > 2).coalesce(1), path)
+    apply_cdc_delta(changes, path, keys=["o_orderkey"])
+    rows = _stream_table(spark, root, DeltaSource(path, starting_version=0, ignore_changes=True))
+    return rows.groupBy("o_orderkey").agg(F.count("*").alias("versions")).filter((F.col("versions") > 1) | (key % 10 == 2))
+
+
+@query("SELECT event_type, CAST(event_id AS VARCHAR) AS event_id FROM events")
+def delta_overwrite_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose rows and columns are replaced."""
+    path, events = f"{scratch(spark, 'delta-overwrite')}/table", table(spark, sf_dir, "events")
+    write_delta(events.select("event_id", "value"), path)
+    write_delta(events.select("event_type", F.col("event_id").cast("string").alias("event_id")), path, mode="overwrite", schema_mode="overwrite")
+    return DeltaTable(spark, path).read()
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def excel_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook, read in batches as any file."""
+    root = scratch(spark, "excel")
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()
+    fs_for(root).write(local_path(f"{root}/source/region.xlsx"), _workbook(["r_regionkey", "r_name"], [tuple(r) for r in rows]))
+    run(FilesSource(f"{root}/source", file_format="xlsx"), root, lambda df, batch_id: write_parquet_batch(df, f"{root}/out", batch_id), reader=lambda files: read_files(files, "excel"))
+    return sink(spark, f"{root}/out")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def avro_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Avro container files."""
+    root = scratch(spark, "avro")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()
+    fs_for(root).write(local_path(f"{root}/source/nation.avro"), _container([tuple(r) for r in rows]))
+    run(FilesSource(f"{root}/source", file_format="avro"), root, lambda df, batch_id: write_parquet_batch(df, f"{root}/out", batch_id), reader=lambda files: read_files(files, "avro"))
+    return sink(spark, f"{root}/out")
+
+
+def _workbook(names: list[str], rows: list[tuple]) -> bytes:
+    """A small workbook, to be read back."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org"
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(names), *rows])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rel}/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _container(rows: list[tuple[int, str]]) -> bytes:
+    """A small Avro file of (n_nationkey, n_name), to be read back."""
+
+    def long(n: int) -> bytes:
+        n, out = (n << 1) ^ (n >> 63), b""
+        while n > 0x7F:
+            out += bytes([n & 0x7F | 0x80])
+            n >>= 7
+        return out + bytes([n])
+
+    text = lambda s: long(len(s)) + s
+    schema = b'{"type": "record", "name": "nation", "fields": [{"name": "n_nationkey", "type": "long"}, {"name": "n_name", "type": ["null", "string"]}]}'
+    body = b"".join(long(k) + long(1) + text(n.encode()) for k, n in rows)
+    mark = bytes(range(16))
+    return b"Obj\x01" + long(1) + text(b"avro.schema") + text(schema) + long(0) + mark + long(len(rows)) + text(body) + mark
