@@ -41,9 +41,9 @@ def _part(book: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
     return ElementTree.fromstring(data)
 
 
-def _column(reference: str) -> int:
+def _column(place: str) -> int:
     out = 0
-    for c in re.match(r"[A-Z]+", reference)[0]:
+    for c in re.match(r"[A-Z]+", place)[0]:
         out = out * 26 + ord(c) - 64
     return out - 1
 
