@@ -85,7 +85,7 @@ def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float =
 
 def without_lines(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """The documents with their texts less the dropped lines; those that lose every line with a token go."""
-    gone = small(Durable(documents.sparkSession, "line-dedup").write(dropped(documents, min_docs, constant), "dropped")).alias("g")
+    gone = small(Durable(documents.sparkSession, "line-dedup").write(dropped(documents, min_docs, constant), "dropped"), lists="dropped").alias("g")
     rows = documents.withColumn("__key", _key()).alias("r")
     both = rows.join(gone, (F.col("r.__key") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     parts = F.split("r.text", "\n")

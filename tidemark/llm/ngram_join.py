@@ -51,16 +51,11 @@ from tidemark.llm.similarity import WORDS, across, bitmap, in_length, labelled,
 PERCENT, RARE = 80, 24
 
 
-def _missing(n, percent: int):
+def _missing(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that a set of n may lack in a set that it is linked to."""
     return n - (n * percent + 99) // 100
 
 
-def _share(n, part: float):
-    """Tokens that two linked sets share at least in prefixes this much longer."""
-    return np.maximum(2, (n * part).astype(np.int64)) if isinstance(n, np.ndarray) else max(2, int(n * part))
-
-
 def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFrame:
     """Of each row: doc_id, class (digest of the token set), n, and its first tokens or, with ``full``, all of them and their bitmap."""
     from tidemark.llm import text
@@ -75,7 +70,7 @@ def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFr
                 sets = text.shingles(rows.column("text"))
                 n = np.array([len(s) for s in sets], np.int64)
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-                ends = n if full else np.minimum(n, _missing(n, percent) + _share(n, part))
+                ends = n if full else np.minimum(n, _missing(n, percent) + np.maximum(2, (n * part).astype(np.int64)))
                 flat = np.concatenate([s[:e] for s, e in zip(sets, ends.tolist(), strict=True)]).view(np.int64) if sets else np.zeros(0, np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)), pa.array(flat))
                 columns = [rows.column("doc_id"), digest, pa.array(n), tokens]
@@ -89,6 +84,7 @@ def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFr
 
 
 def _k(n: Column, part: float) -> Column:
+    """Tokens that two linked sets share at least in prefixes that are longer by as many."""
     return F.least(n, F.greatest(F.lit(2), F.floor(n * part).cast("long")))
 
 

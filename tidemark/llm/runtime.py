@@ -45,6 +45,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same table, to be broadcast if it was counted and has few rows; else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
+    """The same table, to be broadcast if it was counted and is small; else joined by shuffle.
+
+    Its rows are a few numbers each; elements of a column of ``lists`` count as rows.
+    """
+    n = df.count() if lists is None else df.agg(F.coalesce(F.sum(F.size(lists) + 1), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= rows else df
