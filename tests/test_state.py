@@ -185,6 +185,20 @@ def test_readers(spark, tmp_path):
         read_files(["x"], "orc")
 
 
+def test_files_of_unlike_schemas(spark, tmp_path, monkeypatch):
+    from tidemark.errors import SchemaEvolutionError
+    from tidemark.sources import readers
+
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.sql("SELECT 1.5D AS id, 'x' AS note").coalesce(1).write.parquet(str(tmp_path / "b"))
+    files = [str(next((tmp_path / f).glob("*.parquet"))) for f in "ab"]
+    for limit in (64, 0):  # footers read by the driver, or by tasks
+        monkeypatch.setattr(readers, "FOOTERS", limit)
+        assert rows(read_files(files, relaxed=True)) == [(0.0, None), (1.0, None), (1.5, "x")]
+        with pytest.raises(SchemaEvolutionError):
+            read_files(files)
+
+
 def test_reader_order(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "b"))
     spark.range(100, 400).coalesce(1).write.parquet(str(tmp_path / "a"))

@@ -117,7 +117,17 @@ def _by_schema(spark: SparkSession, files: list[str]) -> list[list[str]]:
         found = map(footer_schema, files)
     else:
         ship(spark)
-        found = spark.sparkContext.parallelize(files, min(len(files) // 16, 10_000)).map(footer_schema).collect()
+
+        def footers(parts):
+            import pyarrow as pa
+
+            for part in parts:
+                paths = part.column("path").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(footer_schema, paths), pa.string())], ["path", "schema"])
+
+        listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files) // 16, 10_000)))
+        by_path = {r.path: r.schema for r in listed.mapInArrow(footers, "path string, schema string").collect()}
+        found = [by_path[f] for f in files]
     groups: dict[str, list[str]] = defaultdict(list)
     for path, schema in zip(files, found, strict=True):
         groups[schema].append(path)
