@@ -122,3 +122,15 @@ def test_sink_rewrites_only_touched_files(spark, tmp_path):
     assert table.read().filter("value = 7").count() == 1 and table.read().count() == 30
     feed = rows(table.read_changes(3).select("id", "value", "_change_type", "_commit_version"))
     assert feed == [(105, 0, "update_preimage", 3), (105, 7, "update_postimage", 3)]
+
+
+def test_change_feed_of_merges(spark, tmp_path):
+    feeds = []
+    for name, dedupe in (("a", True), ("b", False)):
+        path = tmp_path / name
+        write_delta(base(spark, (1, 10), (2, 20), (4, 40)), path)
+        changes = frame(spark, [(1, 11, "update", 1), (2, None, "delete", 1), (3, 30, "insert", 1), (5, None, "delete", 1)])
+        apply_cdc_delta(changes, path, keys=["id"], change_feed=True, dedupe_by_latest_commit=dedupe)
+        feeds.append(rows(DeltaTable(spark, path).read_changes(1).select("id", "value", "_change_type")))
+        assert rows(DeltaTable(spark, path).read()) == [(1, 11), (3, 30), (4, 40)]
+    assert feeds[0] == feeds[1] == [(1, 10, "update_preimage"), (1, 11, "update_postimage"), (2, 20, "delete"), (3, 30, "insert")]

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.cdc import CHANGE_TYPE, COMMIT_TIMESTAMP, COMMIT_VERSION, DELETE, UPSERTS, apply_cdc, check_changes, normalised, prepared
+from tidemark.operators.cdc import CHANGE_TYPE, COMMIT_TIMESTAMP, COMMIT_VERSION, DELETE, UPSERTS, apply_cdc, check_changes, latest, normalised, prepared, without_change_columns
 from tidemark.sources.readers import session
 from tidemark.table import DeltaTable
 
@@ -62,7 +62,11 @@ def apply_cdc_delta(
         touched = table.files_holding(effective, keys, snap)
         held = table.read_adds(touched, snap)
         rows = apply_cdc(changes, held, mode=mode, **options)
-        feed = _change_rows(held, rows, keys) if change_feed else None
+        feed = None
+        if change_feed and dedupe_by_latest_commit:
+            feed = _latest_change_rows(held, changes, keys, change_type_col, commit_version_col, commit_timestamp_col)
+        elif change_feed:
+            feed = _change_rows(held, rows, keys)
         table.replace_files(touched, rows, snap, feed, schema_mode=schema_mode)
         return {"rows_in": rows_in, "rows_out": table.read().count(), "action": "merge", "change_types": sorted(k for k in counts if k is not None), "files_rewritten": len(touched)}
     finally:
@@ -70,15 +74,25 @@ def apply_cdc_delta(
 
 
 def _change_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """The change feed of a merge: rows that came, went or changed, told apart by their keys."""
+    """The change feed of a merge without deduplication: rows that came, went or changed, told apart by their keys."""
     columns = [c for c in before.columns if c in after.columns]
     old, new = before.select(*columns), after.select(*columns)
     gone, came = old.exceptAll(new), new.exceptAll(old)
     had, has = gone.select(*keys).distinct(), came.select(*keys).distinct()
+    return _labelled(gone.join(has, keys, "left_anti").select(*columns), gone.join(has, keys, "left_semi").select(*columns), came.join(had, keys, "left_semi").select(*columns), came.join(had, keys, "left_anti").select(*columns))
+
+
+def _latest_change_rows(before: DataFrame, changes: DataFrame, keys: list[str], change_type_col: str, version_col: str, timestamp_col: str) -> DataFrame:
+    """The change feed of a merge of each key's last change: only rows of changed keys are looked at."""
+    last = latest(changes, keys, version_col, timestamp_col)
+    kind = F.col(f"`{change_type_col}`")
+    written = without_change_columns(last.filter(kind.isin(*UPSERTS)), change_type_col, version_col, timestamp_col)
+    columns = [c for c in before.columns if c in written.columns]
+    old, new, deleted = before.select(*columns), written.select(*columns), last.filter(kind == DELETE).select(*keys)
+    had = old.select(*keys).distinct()
+    return _labelled(old.join(deleted, keys, "left_semi").select(*columns), old.join(new.select(*keys), keys, "left_semi").select(*columns), new.join(had, keys, "left_semi").select(*columns), new.join(had, keys, "left_anti").select(*columns))
+
+
+def _labelled(deleted: DataFrame, preimages: DataFrame, postimages: DataFrame, inserted: DataFrame) -> DataFrame:
     label = lambda df, kind: df.withColumn(CHANGE_TYPE, F.lit(kind))
-    return (
-        label(gone.join(has, keys, "left_anti").select(*columns), "delete")
-        .unionByName(label(gone.join(has, keys, "left_semi").select(*columns), "update_preimage"))
-        .unionByName(label(came.join(had, keys, "left_semi").select(*columns), "update_postimage"))
-        .unionByName(label(came.join(had, keys, "left_anti").select(*columns), "insert"))
-    )
+    return label(deleted, "delete").unionByName(label(preimages, "update_preimage")).unionByName(label(postimages, "update_postimage")).unionByName(label(inserted, "insert"))
