@@ -65,8 +65,8 @@ def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFr
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in parts:
-            for at in range(0, max(1, piece.num_rows), 2000):
-                rows = piece.slice(at, 2000)
+            for at in range(0, max(1, piece.num_rows), 1000):
+                rows = piece.slice(at, 1000)
                 sets = text.shingles(rows.column("text"))
                 n = np.array([len(s) for s in sets], np.int64)
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
