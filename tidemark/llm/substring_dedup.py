@@ -161,9 +161,9 @@ def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent:
     """digest and cluster of the lines that are linked to a line of other words."""
     lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("who").alias("who"))
     lines = store.write(lines, "lines")
-    index = lines.select("digest", F.explode("bands").alias("band")).repartition("band")
+    index = lines.select("digest", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
-    index = store.write(index.join(met.hint("shuffle_hash"), "band"), "collisions")
+    index = store.write(index.join(met.hint("merge"), "band", "left_semi").select("digest", "band"), "collisions")
     held = store.write(lines.join(small(index.select("digest").distinct()), "digest", "left_semi").select("digest", "who"), "held")
     store.drop(lines)
     texts = documents.select("who", "text").join(small(held.select("who").distinct()), "who", "left_semi")
@@ -204,13 +204,16 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
     paragraphs = near.join(first.hint("merge"), "cluster").select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed"))
 
-    # The one shuffle of all runs carries as little as tells documents and places apart.
-    runs = units.filter(F.col("kind") == _PIECE).select("digest", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")).repartition("digest")
+    # What is shuffled of all runs is as little as tells documents and places apart.  Hot
+    # runs are aggregated before their shuffle; what is aggregated is written first, so
+    # that the joins are between plain shuffles, which AQE can split.
+    runs = units.filter(F.col("kind") == _PIECE).select("digest", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place"))
     again = runs.groupBy("digest").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("digest")
-    again = store.write(runs.join(again.hint("shuffle_hash"), "digest", "left_semi"), "repeated")
+    again = store.write(again, "digests")
+    again = store.write(runs.join(again.hint("merge"), "digest", "left_semi"), "repeated")
     store.drop(units)
     again = named(again.select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
-    first = again.groupBy("digest").agg(_first())
+    first = store.write(again.groupBy("digest").agg(_first()), "firsts")
     again = store.write(again.join(first.hint("merge"), "digest").select("doc_id", "who", "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "runs")
     in_text = Window.partitionBy("who").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
