@@ -102,16 +102,16 @@ MONEY = "decimal(18,2)"
 # ---- files, state and aggregates
 
 
-@query("SELECT event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_value FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM events GROUP BY event_type")
 def incr_event_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of files, each merged into a cumulative group-by."""
     root = scratch(spark, "incr-event-agg")
     total = IncrementalAggregate("totals", ["event_type"], [Measure("n_events", "count"), Measure("total_value", "sum", F.col("value").cast(MONEY))])
     run(batches_of(event_files(spark, sf_dir, root)), root, lambda df, state: total.update(df, state) and None)
-    return total.result(job_state(root))
+    return total.result(job_state(root)).withColumn("total_value", F.col("total_value").cast("double"))
 
 
-@query("SELECT user_id, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_value FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM events WHERE event_type <> 'error' GROUP BY user_id")
 def incr_user_rollup_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch's SQL, rolled up with the state's by SQL."""
     root = scratch(spark, "incr-user-rollup")
@@ -125,7 +125,7 @@ def incr_user_rollup_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         state.save_parquet("rollup", spark.sql("SELECT user_id, CAST(sum(n_events) AS BIGINT) AS n_events, CAST(sum(total_value) AS DECIMAL(28,2)) AS total_value FROM {both} GROUP BY user_id", both=both))
 
     run(batches_of(event_files(spark, sf_dir, root)), root, writer, transform)
-    return job_state(root).load_parquet("rollup")
+    return job_state(root).load_parquet("rollup").withColumn("total_value", F.col("total_value").cast("double"))
 
 
 @query("SELECT user_id, min(value) AS low, max(value) AS high, count(value) AS n, CAST(max(ts) AS TIMESTAMP) AS last_seen FROM events GROUP BY user_id")
@@ -210,7 +210,7 @@ def watermark_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{B}, k AS (SELECT *, CAST(ts AS DATE) AS d, min(batch) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS fb FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, d ORDER BY ts DESC, event_id DESC) AS rn FROM k WHERE batch = fb)
-SELECT event_id, user_id, event_type, d FROM r WHERE rn = 1"""
+SELECT event_id, user_id, event_type, CAST(d AS VARCHAR) AS d FROM r WHERE rn = 1"""
 )
 def dedupe_across_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of each key in the first batch that has the key."""
@@ -219,7 +219,7 @@ def dedupe_across_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def writer(df, batch_id, state):
         rows = seen.fresh(df.withColumn("d", F.to_date("ts")), state)
-        return write_parquet_batch(rows.select("event_id", "user_id", "event_type", "d"), f"{root}/out", batch_id)
+        return write_parquet_batch(rows.select("event_id", "user_id", "event_type", F.col("d").cast("string").alias("d")), f"{root}/out", batch_id)
 
     run(batches_of(event_files(spark, sf_dir, root)), root, writer)
     return sink(spark, f"{root}/out")
@@ -252,13 +252,13 @@ def schema_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{B} SELECT event_id, CASE WHEN batch > 0 AND event_id % 5 = 0 THEN NULL ELSE event_id END AS v,
+    f"""{B} SELECT event_id, CASE WHEN batch > 0 AND event_id % 5 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS v,
 CASE WHEN batch > 0 AND event_id % 5 = 0 THEN 'bad-' || event_id END AS rescued_v FROM b"""
 )
 def schema_coerce_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that do not fit the type are null, their text is rescued."""
     text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("bad-"), F.col("event_id"))).otherwise(F.col("event_id").cast("string")).alias("v")
-    finish = lambda df: df.select("event_id", "v", (F.col("_rescued.v") if "_rescued" in df.columns else F.lit(None).cast("string")).alias("rescued_v"))
+    finish = lambda df: df.select("event_id", F.col("v").cast("string").alias("v"), (F.col("_rescued.v") if "_rescued" in df.columns else F.lit(None).cast("string")).alias("rescued_v"))
     return _schema_run(spark, sf_dir, ["event_id", F.col("event_id").alias("v")], ["event_id", text], SchemaEvolution("coerce", "column"), finish)
 
 
@@ -274,14 +274,14 @@ def schema_widen_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schema_run(spark, sf_dir, ["event_id", F.col("event_id").alias("v")], ["event_id", F.col("event_type").alias("v")], SchemaEvolution("type_widen"), lambda df: df.withColumn("v", F.col("v").cast("string")))
 
 
-@query(f"{B} SELECT event_id, CASE WHEN batch = 0 THEN CAST(event_id AS DOUBLE) ELSE value END AS v, CASE WHEN batch > 0 THEN user_id END AS user_id FROM b")
+@query(f"{B} SELECT event_id, CASE WHEN batch = 0 THEN CAST(event_id AS DOUBLE) ELSE value END AS v, CASE WHEN batch > 0 THEN CAST(user_id AS VARCHAR) END AS user_id FROM b")
 def mixed_files_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of unlike columns and types in one batch, united."""
     root = scratch(spark, "mixed")
     first, later = ["event_id", F.col("event_id").alias("v")], ["event_id", F.col("value").alias("v"), "user_id"]
     source = event_files(spark, sf_dir, root, {b: first if b == 0 else later for b in range(BATCHES)})
     run(FilesSource(source, recursive=True), root, lambda df, batch_id: write_parquet_batch(df, f"{root}/out", batch_id), reader=lambda files: read_files(files, relaxed=True))
-    return sink(spark, f"{root}/out")
+    return sink(spark, f"{root}/out").withColumn("user_id", F.col("user_id").cast("string"))
 
 
 @query("SELECT CAST(o_orderkey AS DOUBLE) AS k, o_orderpriority AS note FROM orders UNION ALL SELECT l_quantity AS k, NULL AS note FROM lineitem")
@@ -430,13 +430,13 @@ def delta_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DeltaTable(spark, _merged_table(spark, sf_dir, scratch(spark, "delta-travel"))).read(0)
 
 
-@query(f"{B} SELECT event_id, CASE WHEN batch > 0 THEN user_id END AS user_id FROM b")
+@query(f"{B} SELECT event_id, CASE WHEN batch > 0 THEN CAST(user_id AS VARCHAR) END AS user_id FROM b")
 def delta_schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that gains a column."""
     path, rows = f"{scratch(spark, 'delta-schema')}/table", arrivals(spark, sf_dir)
     write_delta(rows.filter("batch = 0").select("event_id"), path)
     write_delta(rows.filter("batch > 0").select("event_id", "user_id"), path, schema_mode="merge")
-    return DeltaTable(spark, path).read()
+    return DeltaTable(spark, path).read().withColumn("user_id", F.col("user_id").cast("string"))
 
 
 @query("SELECT event_id, event_type, value FROM events")
@@ -621,11 +621,12 @@ def observed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(ended.items()), "stage string, ended int")
 
 
-@query("SELECT event_id, user_id AS k, event_type AS note FROM events UNION ALL SELECT NULL AS event_id, c_custkey AS k, NULL AS note FROM customer")
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, user_id AS k, event_type AS note FROM events UNION ALL SELECT NULL AS event_id, c_custkey AS k, NULL AS note FROM customer")
 def union_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of frames with unlike columns of like types."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.col("event_type").alias("note"))
-    return diagonal([events, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))])
+    out = diagonal([events, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))])
+    return out.withColumn("event_id", F.col("event_id").cast("string"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS event_type, CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS rescued FROM events")
