@@ -318,6 +318,14 @@ def test_near_paragraphs_cluster(spark):
     assert after[0] == 260 and all(after[i] == 60 for i in range(1, 12))
 
 
+def test_equal_paragraphs_cluster(spark):
+    rng = random.Random(13)
+    lines = [prose(rng, n) for n in (28, 32, 35, 40, 45, 50)]
+    pairs = [(i, f"{prose(rng, 60)}\n{lines[i % 6]}\n{prose(rng, 60)}") for i in range(24)]
+    rows = [r for r in substring_dedup.repeats(documents(spark, pairs)).collect() if r.kind == "paragraph"]
+    assert {(r.doc_id, r.start, r.n, r.kept_in, r.removed) for r in rows} == {(i, 60, len(lines[i % 6].split()), i % 6, i >= 6) for i in range(24)}
+
+
 def test_band_recall():
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS > 0.995
 

@@ -14,8 +14,8 @@ of two kinds, as a copied passage may fill whole lines or stand inside of one:
   stands.  Their one band is the hash of all their words, so runs that collide are
   equal.
 
-Clusters are the components of verified links between lines, and the groups of
-equal runs.  A cluster in two documents or more repeats; it is kept in its first
+Clusters are the components of verified links between lines, equal lines being
+linked, and the groups of equal runs.  A cluster in two documents or more repeats; it is kept in its first
 document (least doc_id, null last, then least hash of the row) and removed from
 the others.  Overlapping repeating runs make a passage; passages of fewer than
 ``MIN_PASSAGE`` words are left alone, so a short common line alone is no finding.
@@ -158,9 +158,10 @@ def _first() -> Column:
 
 
 def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent: int) -> DataFrame:
-    """digest and cluster of the lines that are linked to a line of other words."""
-    lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("who").alias("who"))
+    """digest and cluster of the lines that are linked to a line of other words or stand in two documents."""
+    lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("who").alias("who"), F.max("who").alias("last"))
     lines = store.write(lines, "lines")
+    shared = store.write(lines.filter("who <> last").select("digest"), "shared")
     index = lines.select("digest", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
     index = store.write(index.join(met.hint("merge"), "band", "left_semi").select("digest", "band"), "collisions")
@@ -176,7 +177,8 @@ def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent:
     links = store.write(links.union(linked_across(rest, ["band"], sets, percent)), "links")
     store.drop(sets)
     store.drop(rest)
-    return components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    linked = components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    return linked.union(shared.join(linked.hint("merge"), "digest", "left_anti").select("digest", F.col("digest").alias("cluster")))
 
 
 def _identified(documents: DataFrame) -> bool:
