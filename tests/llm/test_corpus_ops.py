@@ -326,6 +326,21 @@ def test_equal_paragraphs_cluster(spark):
     assert {(r.doc_id, r.start, r.n, r.kept_in, r.removed) for r in rows} == {(i, 60, len(lines[i % 6].split()), i % 6, i >= 6) for i in range(24)}
 
 
+def test_passages_reach_to_their_ends(spark):
+    rng = random.Random(14)
+    passages, pairs, want = [prose(rng, n) for n in (51, 60, 80)], [], set()
+    for i in range(18):
+        (before, after), p = rng.choice([(0, 70), (3, 70), (40, 0), (90, 2), (40, 70)]), i % 3
+        pairs.append((i, f"{prose(rng, before, 10**9)} {passages[p]} {prose(rng, after, 10**9)}".strip()))
+        want.add((i, before, len(passages[p].split()), p, i >= 3))
+    got = [r for r in substring_dedup.repeats(documents(spark, pairs)).collect() if r.kind == "passage"]
+    found = {(r.doc_id, r.start, r.n, r.kept_in, r.removed) for r in got}
+    assert want <= found and all(not removed for *_, removed in found - want)  # documents that start with a passage share a run that the first may lack
+    after = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_repeats(documents(spark, pairs)).collect()}
+    for (i, text), p in zip(pairs, [0, 1, 2] * 6, strict=True):
+        assert after.get(i, 0) == len(text.split()) - (len(passages[p].split()) if i >= 3 else 0)
+
+
 def test_band_recall():
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS > 0.995
 

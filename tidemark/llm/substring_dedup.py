@@ -17,8 +17,9 @@ of two kinds, as a copied passage may fill whole lines or stand inside of one:
 Clusters are the components of verified links between lines, equal lines being
 linked, and the groups of equal runs.  A cluster in two documents or more repeats; it is kept in its first
 document (least doc_id, null last, then least hash of the row) and removed from
-the others.  Overlapping repeating runs make a passage; passages of fewer than
-``MIN_PASSAGE`` words are left alone, so a short common line alone is no finding.
+the others.  Overlapping repeating runs make a passage, which is grown word by word
+to both sides as far as the first document has the same words there; passages of
+fewer than ``MIN_PASSAGE`` words are left alone, so a short common line alone is no finding.
 
 A document is a row; rows equal in doc_id and text count as one.  Null, empty and
 short texts have no paragraphs.  An empty table gives an empty result; columns
@@ -43,6 +44,8 @@ PERCENT = 80
 ROWS, BANDS = 2, 6
 MIN_LINE, MIN_PASSAGE, WINDOW = 25, 28, 10
 _PIECE, _LINE = 0, 1
+#: Words from the end of a copied passage to the first anchor inside, at most.
+BEFORE, AFTER = WINDOW - 1, WINDOW + 4
 _seeds = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -181,6 +184,62 @@ def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent:
     return linked.union(shared.join(linked.hint("merge"), "digest", "left_anti").select("digest", F.col("digest").alias("cluster")))
 
 
+def _surroundings(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """who, at, after and the hashes of the words next to each place, the nearest first."""
+    from tidemark.llm import text
+
+    ship(documents.sparkSession)
+    lists = places.groupBy("who").agg(F.collect_set(F.struct("at", "after")).alias("places"))
+    # Rows that are equal in doc_id and text have one who: their places are told once too often.
+    rows = documents.select("who", "text").join(small(lists, lists="places"), "who")
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first in range(0, part.num_rows, 1000):
+                rows = part.slice(first, 1000)
+                word, offsets = text.words(rows.column("text"), lower=True)
+                own = rows.column("places").value_lengths().to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(own)), own)
+                flat = rows.column("places").flatten()
+                at, after = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("after").to_numpy(zero_copy_only=False)
+                n = np.where(after, np.minimum(offsets[own + 1] - offsets[own] - at, AFTER), np.minimum(at, BEFORE))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                step = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+                begin = np.repeat(offsets[own] + at, n)
+                words = word[np.where(np.repeat(after, n), begin + step, begin - 1 - step)].view(np.int64)
+                columns = [rows.column("who").take(pa.array(own)), flat.field("at"), flat.field("after"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
+                yield pa.RecordBatch.from_arrays(columns, ["who", "at", "after", "words"])
+
+    return rows.mapInArrow(batches, "who long, at int, after boolean, words array<long>")
+
+
+def _grown(documents: DataFrame, again: DataFrame, parts: DataFrame, store: Durable) -> DataFrame:
+    """The parts with the words that stand next to them both in their document and in the one that keeps them.
+
+    What is compared at an end is what surrounds the run there in the first document
+    and in each other one; the first document's own part grows as far as any copy's.
+    Contexts that are equal are compared once.
+    """
+    edges = parts.select(F.explode(F.array(F.struct(F.col("left.digest").alias("digest"), F.lit(False).alias("after")), F.struct(F.col("right.digest").alias("digest"), F.lit(True).alias("after")))).alias("e"))
+    edges = store.write(edges.select("e.digest", "e.after").distinct(), "edges")
+    at = F.when(F.col("after"), F.col("start") + F.col("n")).otherwise(F.col("start")).alias("at")
+    places = store.write(again.join(edges.hint("merge"), "digest").select("digest", "after", "who", "removed", at), "places")
+    beside = _surroundings(documents, places.select("who", "at", "after")).dropDuplicates(["who", "at", "after"])
+    beside = store.write(places.join(beside.hint("merge"), ["who", "at", "after"]).withColumn("context", F.xxhash64("words")), "beside")
+    contexts = beside.groupBy("digest", "after", "removed", "context").agg(F.first("words").alias("words"))
+    kept, copies = (contexts.filter(F.col("removed") == r).select("digest", "after", F.col("context").alias(f"context_{r}"), F.col("words").alias(f"words_{r}")) for r in (False, True))
+    differ = F.array_position(F.zip_with("words_False", "words_True", lambda x, y: x.eqNullSafe(y)), False)
+    common = F.when(differ == 0, F.size("words_True")).otherwise(differ - 1).cast("int").alias("more")
+    met = store.write(kept.join(copies.hint("merge"), ["digest", "after"]).select("digest", "after", "context_False", "context_True", common), "contexts")
+    grow = [met.groupBy("digest", "after", F.col(f"context_{r}").alias("context")).agg(F.max("more").alias("more")).withColumn("removed", F.lit(r)) for r in (False, True)]
+    more = beside.drop("words").join(grow[0].union(grow[1]).hint("merge"), ["digest", "after", "context", "removed"]).select("who", "digest", "at", "after", "more")
+    more = store.write(more, "more")
+    end = lambda side, after: more.filter(F.col("after") == after).select("who", F.col("digest").alias(f"{side}_digest"), F.col("at").alias(side), F.col("more").alias(f"more_{side}"))
+    parts = parts.select("*", F.col("left.digest").alias("start_digest"), F.col("right.digest").alias("stop_digest"))
+    parts = parts.join(end("start", False).hint("merge"), ["who", "start_digest", "start"], "left").join(end("stop", True).hint("merge"), ["who", "stop_digest", "stop"], "left")
+    return parts.withColumn("start", F.col("start") - F.coalesce("more_start", F.lit(0))).withColumn("stop", F.col("stop") + F.coalesce("more_stop", F.lit(0)))
+
+
 def _identified(documents: DataFrame) -> bool:
     """Whether doc_id tells all rows apart and is a number."""
     if documents.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
@@ -216,17 +275,18 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     store.drop(units)
     again = named(again.select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
     first = store.write(again.groupBy("digest").agg(_first()), "firsts")
-    again = store.write(again.join(first.hint("merge"), "digest").select("doc_id", "who", "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "runs")
+    again = store.write(again.join(first.hint("merge"), "digest").select("doc_id", "who", "start", "n", "digest", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "runs")
     in_text = Window.partitionBy("who").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     broken = F.coalesce(reached <= F.col("start"), F.lit(True))
     changed = broken | (F.lag("removed").over(in_text) != F.col("removed"))
     rows = again.withColumn("_b", broken.cast("int")).withColumn("_c", changed.cast("int"))
     rows = rows.withColumn("run", F.sum("_b").over(in_text)).withColumn("part", F.sum("_c").over(in_text))
+    stop = F.col("start") + F.col("n")
+    parts = rows.groupBy("who", "run", "part").agg(F.first("doc_id").alias("doc_id"), F.first("removed").alias("removed"), F.min("start").alias("start"), F.max(stop).alias("stop"), F.min("kept_in").alias("kept_in"), F.min(F.struct("start", "digest")).alias("left"), F.max(F.struct(stop.alias("stop"), "digest")).alias("right"))
+    parts = _grown(documents, again, store.write(parts, "parts"), store)
     whole = Window.partitionBy("who", "run")
-    rows = rows.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= MIN_PASSAGE)
-    n = F.max(F.col("start") + F.col("n")) - F.min("start")
-    passages = rows.groupBy("who", "part").agg(F.first("doc_id").alias("doc_id"), F.first("removed").alias("removed"), F.min("start").alias("start"), n.cast("int").alias("n"), F.min("kept_in").alias("kept_in"))
+    passages = parts.withColumn("words", F.max("stop").over(whole) - F.min("start").over(whole)).filter(F.col("words") >= MIN_PASSAGE).withColumn("n", (F.col("stop") - F.col("start")).cast("int"))
     return passages.select("doc_id", "who", F.lit("passage").alias("kind"), "start", "n", "kept_in", "removed").unionByName(paragraphs)
 
 
