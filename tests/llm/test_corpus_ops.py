@@ -341,6 +341,22 @@ def test_passages_reach_to_their_ends(spark):
         assert after.get(i, 0) == len(text.split()) - (len(passages[p].split()) if i >= 3 else 0)
 
 
+def test_wrapped_paragraphs_cluster(spark):
+    rng = random.Random(15)
+    base, pairs = prose(rng, 100).split(" "), []
+    for i in range(8):
+        words = [f"m{i}x{k}" if k in (33, 66) else w for k, w in enumerate(base)]
+        width, glue = (12, 11, 9, 30)[i % 4], "\n\n" if i % 4 == 3 else "\n"
+        pairs.append((i, prose(rng, 40) + glue + "\n".join(" ".join(words[k : k + width]) for k in range(0, 100, width)) + glue + prose(rng, 40)))
+    two = [prose(rng, 20), prose(rng, 20)]  # short of the floor alone, not together
+    pairs += [(20 + i, "\n".join([prose(rng, 40), *two, prose(rng, 40)])) for i in range(3)] + [(30 + i, "\n".join([prose(rng, 40), two[0], prose(rng, 40)])) for i in range(3)]
+    rows = [r for r in substring_dedup.repeats(documents(spark, pairs)).collect() if r.kind == "paragraph"]
+    assert {(r.doc_id, r.start, r.n, r.kept_in, r.removed) for r in rows if r.n == 100} == {(i, 40, 100, 0, i > 0) for i in range(8)}
+    assert {(r.doc_id, r.removed) for r in rows if r.doc_id >= 20} == {(20, False), (21, True), (22, True)}
+    after = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_repeats(documents(spark, pairs)).collect()}
+    assert after == {i: len(t.split()) if i in (0, 20) or i >= 30 else 80 for i, t in pairs}
+
+
 def test_band_recall():
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS > 0.995
 

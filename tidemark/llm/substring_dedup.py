@@ -3,7 +3,10 @@
 Words are lower-cased runs of bytes other than ASCII white space.  Paragraphs are
 of two kinds, as a copied passage may fill whole lines or stand inside of one:
 
-* lines of at least ``MIN_LINE`` words.  ``BANDS`` bands of ``ROWS`` MinHash values
+* lines, runs of neighbouring lines of fewer than ``MIN_LINE`` words each (a wrapped
+  paragraph) and, in texts with blank lines, the blocks between them, all of at least
+  ``MIN_INDEX`` words, which is one shingle.  What a document shares with one first
+  document goes if neighbouring ones reach ``MIN_LINE`` words.  ``BANDS`` bands of ``ROWS`` MinHash values
   of their 5-word shingles find pairs of a similarity of 0.8 with probability
   0.998; each colliding pair that could join two components is verified by the
   exact Jaccard similarity of the shingle sets, which must reach 0.8;
@@ -42,7 +45,7 @@ from tidemark.llm.similarity import labelled, linked_across, split, star, verifi
 PERCENT = 80
 #: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS.
 ROWS, BANDS = 2, 6
-MIN_LINE, MIN_PASSAGE, WINDOW = 25, 28, 10
+MIN_INDEX, MIN_LINE, MIN_PASSAGE, WINDOW = 5, 25, 28, 10
 _PIECE, _LINE = 0, 1
 #: Words from the end of a copied passage to the first anchor inside, at most.
 BEFORE, AFTER = WINDOW - 1, WINDOW + 4
@@ -80,6 +83,29 @@ def _hash_runs(word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return text.mix(np.add.reduceat(word * power[place], starts) + (ends - starts).astype(np.uint64))
 
 
+def _paragraphs(word: np.ndarray, offsets: np.ndarray, lines: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, ends and digests of the lines, of runs of short lines and of blocks between blank lines."""
+    begins = lines[lines < len(word)]
+    if not len(begins):
+        return begins, begins, np.zeros(0, np.uint64)
+    fresh = np.isin(begins, blocks)
+    long = np.append(begins[1:], len(word)) - begins >= MIN_LINE
+    head = fresh | long
+    head[1:] |= long[:-1]
+    found = []
+    for first in (np.ones(len(begins), bool), head, fresh):
+        starts = begins[first]
+        ends = np.append(starts[1:], len(word))
+        found.append((starts, ends, _hash_runs(word, starts, ends)))
+    starts, ends, _ = found[2]
+    parted = ~(np.isin(starts, offsets) & np.isin(ends, offsets))  # a text without blank lines is no block
+    found[2] = tuple(x[parted] for x in found[2])
+    starts, ends, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, at = np.unique(np.stack([starts, ends], 1), axis=0, return_index=True)
+    at = at[(ends - starts)[at] >= MIN_INDEX]
+    return starts[at], ends[at], digest[at]
+
+
 def _bands(word: np.ndarray, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """BANDS keys of each line (all of at least 5 words)."""
     from tidemark.llm import text
@@ -106,18 +132,14 @@ def _units(documents: DataFrame) -> DataFrame:
         for part in parts:
             for at in range(0, part.num_rows, 1000):
                 rows = part.slice(at, 1000)
-                word, offsets, lines = text.words_and_lines(rows.column("text"))
+                word, offsets, lines, blocks = text.words_and_blocks(rows.column("text"))
                 if not len(word):
                     continue
                 total = text.windows(word)
                 cuts = np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]]))
                 cuts = cuts[cuts < len(word)]
                 ends = np.append(cuts[1:], len(word))
-                begins = lines[lines < len(word)]
-                stops = np.append(begins[1:], len(word))
-                long = stops - begins >= MIN_LINE
-                line_digest = _hash_runs(word, begins, stops)[long]
-                begins, stops = begins[long], stops[long]
+                begins, stops, line_digest = _paragraphs(word, offsets, lines, blocks)
                 bands = _bands(word, total, begins, stops).view(np.int64)
                 pieces, three = _hash_runs(word, cuts, ends), max(0, len(cuts) - 2)
                 of_cut = np.searchsorted(offsets, cuts, "right") - 1
@@ -135,7 +157,7 @@ def _units(documents: DataFrame) -> DataFrame:
 
 
 def _line_sets(documents: DataFrame) -> DataFrame:
-    """digest and distinct shingles of each line of at least MIN_LINE words."""
+    """digest and distinct shingles of each paragraph."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
@@ -143,12 +165,9 @@ def _line_sets(documents: DataFrame) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 1000):
-                word, _, lines = text.words_and_lines(part.slice(at, 1000).column("text"))
-                begins = lines[lines < len(word)]
-                stops = np.append(begins[1:], len(word))
-                long = stops - begins >= MIN_LINE
-                digest = _hash_runs(word, begins, stops)[long] if len(word) else np.zeros(0, np.uint64)
-                found = text.sets(word, text.windows(word), begins[long], ends=stops[long])
+                word, offsets, lines, blocks = text.words_and_blocks(part.slice(at, 1000).column("text"))
+                begins, stops, digest = _paragraphs(word, offsets, lines, blocks)
+                found = text.sets(word, text.windows(word), begins, ends=stops)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["digest", "tokens"])
@@ -263,7 +282,16 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     clusters = _near_lines(documents, units, store, percent)
     near = store.write(named(units.filter(F.col("kind") == _LINE).select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
-    paragraphs = near.join(first.hint("merge"), "cluster").select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed"))
+    paragraphs = near.join(first.hint("merge"), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
+    # What a document shares with one first document must reach MIN_LINE words without a gap.
+    beside = Window.partitionBy("who", "first").orderBy("start")
+    reached = F.max(F.col("start") + F.col("n")).over(beside.rowsBetween(Window.unboundedPreceding, -1))
+    paragraphs = paragraphs.withColumn("_b", F.coalesce(reached < F.col("start"), F.lit(True)).cast("int")).withColumn("run", F.sum("_b").over(beside))
+    whole = Window.partitionBy("who", "first", "run")
+    paragraphs = store.write(paragraphs.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("_b", "run"), "paragraphs")
+    long = paragraphs.filter(F.col("removed") & (F.col("words") >= MIN_LINE))
+    kept = paragraphs.filter(~F.col("removed")).join(long.select("cluster").distinct().hint("merge"), "cluster", "left_semi")
+    paragraphs = long.unionByName(kept).select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), "removed")
 
     # What is shuffled of all runs is as little as tells documents and places apart.  Hot
     # runs are aggregated before their shuffle; what is aggregated is written first, so

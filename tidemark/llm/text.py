@@ -78,6 +78,15 @@ def words_and_lines(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, n
     return hashes, of_text, np.unique(np.concatenate([lines, of_text]))
 
 
+def words_and_blocks(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words_and_lines, and the sorted word offsets at which texts start or a blank line ends."""
+    data, offsets = text_bytes(column)
+    hashes, starts, of_text = _words(data, offsets, lower)
+    lines = np.searchsorted(starts, np.flatnonzero(data == 0x0A)).astype(np.int64)
+    blank = lines[1:][lines[1:] == lines[:-1]]
+    return hashes, of_text, np.unique(np.concatenate([lines, of_text])), np.unique(np.concatenate([blank, of_text]))
+
+
 def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, hashes, at = [], [], 0
     while at < len(data):
