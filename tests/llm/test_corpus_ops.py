@@ -409,6 +409,47 @@ def test_neighbours(spark, kind):
     assert dict(got) == plain_neighbours(rows, 20, 20)
 
 
+def recall_of(got, rows, k, every):
+    want = plain_neighbours(rows, k, every)
+    return sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def found(spark, rows, **options):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.neighbours(df, **options).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_windows_reach_the_recall(spark, kind, monkeypatch):
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(4000, 8))
+    if kind == "clusters":
+        data = 5 * rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + 0.3 * data
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(data)]
+    reaches = []
+    needed = ann._needed
+    monkeypatch.setattr(ann, "_needed", lambda *a: reaches.append(needed(*a)) or reaches[-1])
+    got = found(spark, rows, reach=8, block=32)
+    assert all(len(x) == 20 for x in got.values()) and len(got) == 200
+    assert recall_of(got, rows, 20, 20) >= 0.9
+    assert 8 < reaches[0] < (1200 if kind == "random" else 400)  # windows, not all rows
+    monkeypatch.setattr(ann, "_needed", lambda *a: 0)
+    short = recall_of(found(spark, rows, reach=8, block=32), rows, 20, 20)
+    assert short < 0.9  # it is the windows that answer
+
+
+def test_a_very_common_vector(spark):
+    rng = np.random.default_rng(13)
+    data = rng.normal(size=(900, 8))
+    data[rng.permutation(900)[:300]] = data[0]
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(data)]
+    got = found(spark, rows, reach=8, block=32, target=1.0, probes=1000)
+    assert dict(got) == plain_neighbours(rows, 20, 20)
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.neighbours(df).orderBy("query_id", "rank").collect()] == [(0, 1, 1, 5.0), (0, 2, 20, 3.0), (20, 1, 1, 4.0), (20, 2, 0, 3.0)]

@@ -1,19 +1,24 @@
-"""Nearest neighbours by inner product over shifted Hilbert orderings, completed exactly.
+"""Nearest neighbours by inner product over shifted Hilbert orderings.
 
-1. Vectors are lifted by one coordinate so that the largest inner product is the
+1. Equal vectors are taken together: of each distinct vector the ``k + 1`` least ids
+   are candidates, and the least one asks for all queries that have this vector.
+2. Vectors are lifted by one coordinate so that the largest inner product is the
    least distance, projected to ``DIMS`` random orthonormal directions and scaled
-   by quantiles fitted on a bounded sample (``SAMPLE`` rows).  Every row gets a
-   Hilbert key in each of ``ORDERINGS`` orderings, which differ in their
-   directions and shift.
-2. Each ordering is range-partitioned and sorted by key.  A query is scored
-   against the ``REACH`` keys before and after it in each ordering; the merged
-   best ones are its first answer, and the last score of it a bound.
-3. Rows that are neighbours in the first ordering form blocks, queries that are
-   neighbours form chunks, each with a centre and a radius.  Only a pair of a block
-   and a chunk in which an inner product may reach a query's bound is scored in
-   full.  So the answer is exact.  Vectors without structure leave few pairs
-   out, and then the cost is that of scoring the query set against all rows in
-   blocks.
+   by quantiles fitted on a bounded sample (``SAMPLE`` rows).  Every candidate gets
+   a Hilbert key in each of ``ORDERINGS`` orderings, which differ in their
+   directions and shift.  Each ordering is range-partitioned and sorted by key, and
+   its neighbouring rows are packed into blocks of at most ``block`` rows.
+3. The reach of the windows is measured, not guessed: ``PROBES`` askers are scored
+   against all rows, and the reach is the number of ranks within which a share of
+   ``target`` of their true neighbours lies in one of the orderings, at least
+   ``reach``.  It follows from the data alone, by the same rule at every size.
+4. An asker's window in an ordering is every block that its own block's reach
+   touches.  The rows of its windows in all orderings are scored, merged and ranked
+   again by exact scores.  Nothing else answers: what lies in no window is missed.
+
+Vectors with clusters need short windows.  Directions without structure need wide
+ones: there the reach is a fixed share of all rows, and the cost that of scoring
+the query set against about all rows in blocks.
 
 Scores are double sums over the original components, in their order, so equal
 vectors tie exactly; ties go to the smaller vec_id.  Rows with a null vec_id, and
@@ -21,8 +26,7 @@ vectors that are null, empty, zero or hold null or non-finite components take no
 part; vectors of another length than the most common one neither.  A vec_id names
 one row: repeated rows count once, as query and as candidate.  With fewer candidates than
 ``k`` all are returned; an empty table gives an empty result; columns other than
-vec_id and embedding play no part.  Of many equal vectors in a batch only the k + 1
-with the least ids can ever be returned, and only these go on as candidates.
+vec_id and embedding play no part.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Durable, ship, shuffle_partitions
+from tidemark.llm.runtime import Durable, ship, shuffle_partitions, small
 
-DIMS, BITS, ORDERINGS, REACH, SAMPLE = 6, 10, 4, 64, 20_000
-BLOCK, CHUNK, SUMMARIES, PART_ROWS = 4096, 1024, 20_000, 50_000
-_FOUND = "query_id long, vec_id long, score double"
+DIMS, BITS, ORDERINGS, SAMPLE = 6, 10, 4, 20_000
+REACH, BLOCK, PROBES, TARGET, PART_ROWS = 512, 4096, 128, 0.95, 65_536
+_FOUND = "asker long, vec_id long, score double"
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -119,185 +123,210 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def _batch(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+def _batch(asker: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(asker, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["asker", "vec_id", "score"])
+
+
+def _score(ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, vec: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of each query that reach its bound, by exact scores."""
+    rough = queries @ vectors.T
+    slack = 1e-9 * (1 + np.sqrt((queries**2).sum(1)) * np.sqrt((vectors**2).sum(1)).max(initial=0.0))
+    if vectors.shape[0] > k:
+        bounds = np.maximum(bounds, np.partition(rough, -k, axis=1)[:, -k] - slack)
+    i, j = np.nonzero(rough >= (bounds - slack)[:, None])
+    score = exact(queries[i], vectors[j])
+    keep = best(ids[i], vec[j], score, k)
+    return _batch(ids[i][keep], vec[j][keep], score[keep])
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
-    values = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v, the components as they are stored (float) or as doubles, of the rows that take part."""
+    double = embeddings.schema["embedding"].dataType.simpleString() != "array<float>"
+    values = F.col("embedding").cast("array<double>") if double else F.col("embedding")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v")).filter("vec_id is not null and v is not null")
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists("v", lambda x: x != 0)
     return rows.filter(fine)
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows with their rank."""
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+def _candidates(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Of each distinct vector the k + 1 least ids; the least one asks if a query has the vector."""
+    distinct = rows.groupBy("vec_id", "h", "g").agg(F.first("v").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))
+    distinct = distinct.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)  # limited before its shuffle
+    asked = wanted.select("h", "g").distinct().withColumn("_asked", F.lit(True))
+    return distinct.join(asked.hint("merge"), ["h", "g"], "left").select("vec_id", "h", "g", ((F.col("_rank") == 1) & F.col("_asked").isNotNull()).alias("asks"), "v")
 
 
-def _keyed(rows: DataFrame, curves: Curves, k: int, every: int) -> DataFrame:
-    """Each row once for each ordering, with its key; of equal vectors in a batch only k + 1 stay candidates."""
+def _keyed(rows: DataFrame, curves: Curves) -> DataFrame:
+    """Each row once for each ordering, with its key."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            ids, vectors = part.column("vec_id").to_numpy(), matrix(part.column("v"))
-            order = np.argsort(ids, kind="stable")
-            same = np.unique(vectors[order], axis=0, return_inverse=True)[1].reshape(-1)
-            candidate = np.zeros(len(ids), bool)
-            by = np.lexsort((ids[order], same))
-            group, own = same[by], ids[order][by]
-            begins = np.r_[True, group[1:] != group[:-1]]
-            number = np.cumsum(begins | np.r_[True, own[1:] != own[:-1]])  # distinct ids so far
-            rank = number - np.maximum.accumulate(np.where(begins, number, 0))
-            candidate[order[by[rank <= k]]] = True
-            rows = pa.array(np.flatnonzero(candidate | (ids % every == 0)))
-            vectors, flag = vectors[rows.to_numpy()], pa.array(candidate).take(rows)
-            for i in range(ORDERINGS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i, np.int32)), pa.array(curves.keys(vectors, i)), part.column("vec_id").take(rows), flag, part.column("v").take(rows)], ["ordering", "key", "vec_id", "candidate", "v"])
-
-    return rows.mapInArrow(batches, "ordering int, key long, vec_id long, candidate boolean, v array<double>")
-
-
-def _near(k: int, every: int, reach: int):
-    """Scores each query of a sorted partition against its neighbours in the same ordering."""
+            vectors = matrix(part.column("v"))
+            for i in range(ORDERINGS if part.num_rows else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, i, np.int32)), pa.array(curves.keys(vectors, i)), part.column("vec_id"), part.column("asks"), part.column("v")], ["ordering", "key", "vec_id", "asks", "v"])
+
+    return rows.select("vec_id", "asks", "v").mapInArrow(batches, f"ordering int, key long, vec_id long, asks boolean, v {rows.schema['v'].dataType.simpleString()}")
+
+
+def _blocks(size: int):
+    """Each ``size`` neighbouring rows of one ordering in a sorted partition as one row."""
+
+    def packed(part: int, at: int, rows: pa.Table) -> pa.RecordBatch:
+        values = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        columns = [pa.array([int(rows["ordering"][0].as_py())], pa.int32()), pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([rows.num_rows], pa.int64())]
+        columns += [pa.array([x.tobytes()]) for x in (rows["vec_id"].to_numpy(), rows["asks"].to_numpy(), values)]
+        return pa.RecordBatch.from_arrays(columns, ["ordering", "part", "at", "n", "ids", "asks", "vectors"])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in parts if p.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        ids, ordering, candidate = table["vec_id"].to_numpy(), table["ordering"].to_numpy(), table["candidate"].to_numpy(zero_copy_only=False)
-        vectors = matrix(table["v"].combine_chunks() if table["v"].num_chunks != 1 else table["v"].chunk(0))
-        step = np.arange(-reach, reach + 1)
-        for some in np.array_split(np.flatnonzero(ids % every == 0), max(1, len(ids) // (every * 64))):
-            at = some[:, None] + step
-            fine = (at >= 0) & (at < len(ids))
-            at = np.clip(at, 0, len(ids) - 1)
-            fine &= candidate[at] & (ids[at] != ids[some][:, None]) & (ordering[at] == ordering[some][:, None])
-            q, c = np.nonzero(fine)
-            score = exact(vectors[some[q]], vectors[at[q, c]])
-            keep = best(ids[some[q]], ids[at[q, c]], score, k)
-            yield _batch(ids[some[q]][keep], ids[at[q, c]][keep], score[keep])
+        from pyspark import TaskContext
+
+        number, at, held, rows, ordering = TaskContext.get().partitionId(), 0, [], 0, None
+        for part in parts:
+            edges = [0, *(np.flatnonzero(np.diff(part.column("ordering").to_numpy())) + 1).tolist(), part.num_rows] if part.num_rows else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                now = part.column("ordering")[a].as_py()
+                if rows and now != ordering:
+                    yield packed(number, at, pa.Table.from_batches(held))
+                    at, held, rows = at + 1, [], 0
+                ordering, held, rows = now, [*held, part.slice(a, b - a)], rows + b - a
+                while rows >= size:
+                    table = pa.Table.from_batches(held)
+                    yield packed(number, at, table.slice(0, size))
+                    rest = table.slice(size)
+                    at, held, rows = at + 1, [x for x in rest.to_batches() if x.num_rows], rest.num_rows
+        if rows:
+            yield packed(number, at, pa.Table.from_batches(held))
 
     return batches
 
 
-def _packed(size: int):
-    """Each ``size`` neighbouring rows of a partition as one row, with their centre and radius."""
+def _unpacked(row: dict, size: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, whether they ask, and vectors of a block."""
+    vectors = np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(-1, size)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["asks"], bool), vectors
+
+
+def _own(k: int, size: int, kind: str):
+    """Scores the askers of each block against its rows."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for part in [*parts, None]:
-            if part is not None and part.num_rows:
-                held.append(part)
-                rows += part.num_rows
-            while rows >= size or (part is None and rows):
-                table = pa.Table.from_batches(held).combine_chunks()
-                now, rest = table.slice(0, size).combine_chunks(), table.slice(size)
-                vectors = matrix(now["v"].chunk(0))
-                centre = vectors.mean(0)
-                radius = float(np.sqrt(((vectors - centre) ** 2).sum(1)).max()) * (1 + 1e-9)
-                bound = float(now["bound"].to_numpy().min())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([now["vec_id"].to_numpy().tobytes()]), pa.array([now["bound"].to_numpy().tobytes()]), pa.array([vectors.tobytes()]), pa.array([centre.tobytes()]), pa.array([radius]), pa.array([bound])],
-                    ["ids", "bounds", "vectors", "centre", "radius", "bound"],
-                )
-                held, rows = ([b for b in rest.to_batches() if b.num_rows], rest.num_rows)
+        for part in parts:
+            for row in range(part.num_rows):
+                ids, asks, vectors = _unpacked({c: part.column(c)[row].as_py() for c in ("ids", "asks", "vectors")}, size, kind)
+                some = np.flatnonzero(asks)
+                if len(some):
+                    yield _score(ids[some], vectors[some], np.full(len(some), -math.inf), ids, vectors, k)
 
     return batches
 
 
-_PACK = "ids binary, bounds binary, vectors binary, centre binary, radius double, bound double"
+def _askers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ordering, block and id of each asker."""
+    for part in parts:
+        for row in range(part.num_rows):
+            ids = np.frombuffer(part.column("ids")[row].as_py(), np.int64)[np.frombuffer(part.column("asks")[row].as_py(), bool)]
+            same = [pa.array(np.full(len(ids), part.column(c)[row].as_py(), t)) for c, t in (("ordering", np.int32), ("block", np.int64))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(ids)], ["ordering", "block", "asker"])
 
 
-def _scored(k: int, size: int):
-    """Scores the queries of chunks against the rows of blocks and returns what reaches the queries' bounds."""
+def _windows(k: int, size: int, kind: str):
+    """Scores the askers of a chunk against the rows of a block of their window."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in range(part.num_rows):
-                get = lambda name, kind=np.float64: np.frombuffer(part.column(name)[r].as_py(), kind)  # noqa: E731, B023
-                query, vec, bound = get("q_ids", np.int64), get("ids", np.int64), get("q_bounds")
-                q, v = get("q_vectors").reshape(-1, size), get("vectors").reshape(-1, size)
-                slack = 1e-9 * (1 + np.sqrt((q**2).sum(1)) * np.sqrt((v**2).sum(1)).max())
-                i, j = np.nonzero((q @ v.T >= (bound - slack)[:, None]) & (query[:, None] != vec[None, :]))
-                score = exact(q[i], v[j])
-                keep = best(query[i], vec[j], score, k)
-                yield _batch(query[i][keep], vec[j][keep], score[keep])
+            for row in range(part.num_rows):
+                ids, _, vectors = _unpacked({c: part.column(c)[row].as_py() for c in ("ids", "asks", "vectors")}, size, kind)
+                chunk = part.column("chunk")[row].values
+                asker, bound = chunk.field("asker").to_numpy(), chunk.field("bound").to_numpy()
+                yield _score(asker, matrix(chunk.field("v")), bound, ids, vectors, k)
 
     return batches
 
 
-def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, reach: int = REACH) -> DataFrame:
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """Each asker's k best rows with their rank."""
+    found = found.groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    """Number and first rank of each block in its ordering: a few numbers a block."""
+    order = Window.partitionBy("ordering").orderBy("part", "at")
+    return blocks.select("ordering", "part", "at", F.row_number().over(order).cast("long").alias("block"), (F.sum("n").over(order) - F.col("n")).alias("first"))
+
+
+def _needed(vectors: DataFrame, blocks: DataFrame, k: int, target: float, probes: int) -> int:
+    """The ranks within which a share of the probes' true neighbours lie in one ordering; at most probes * (k + 1) ids are looked up."""
+    asked = vectors.filter("asks").select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+    if not asked:
+        return 0
+    ids, queries = np.array([r.vec_id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)
+
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _batch(ids[:0], ids[:0], np.zeros(0))
+        for part in parts:
+            if part.num_rows:
+                new = _score(ids, queries, np.full(len(ids), -math.inf), part.column("vec_id").to_numpy(), matrix(part.column("v")), k + 1)
+                both = [np.concatenate([held.column(c).to_numpy(), new.column(c).to_numpy()]) for c in range(3)]
+                keep = best(*both, k + 1)
+                held = _batch(*(x[keep] for x in both))
+        yield held
+
+    true = [(r.asker, r.vec_id) for r in _merged(vectors.select("vec_id", "v").mapInArrow(scored, _FOUND), k + 1).collect() if r.asker != r.vec_id]
+    wanted = np.unique(np.array([x for pair in true for x in pair] or [0], np.int64))
+
+    def looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in range(part.num_rows):
+                held = np.frombuffer(part.column("ids")[row].as_py(), np.int64)
+                at = np.flatnonzero(np.isin(held, wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part.column("ordering")[row].as_py(), np.int32)), pa.array(held[at]), pa.array(at + part.column("first")[row].as_py())], ["ordering", "vec_id", "rank"])
+
+    rank = {(r.ordering, r.vec_id): r.rank for r in blocks.select("ordering", "ids", "first").mapInArrow(looked_up, "ordering int, vec_id long, rank long").collect()}
+    away = [min(abs(rank[o, a] - rank[o, b]) for o in range(ORDERINGS)) for a, b in true]
+    return int(np.quantile(away, target, method="higher")) if away else 0
+
+
+def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, reach: int = REACH, block: int = BLOCK, target: float = TARGET, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k nearest rows."""
     spark = embeddings.sparkSession
     ship(spark)
     store = Durable(spark, "ann")
     rows = _valid(embeddings)
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("most")).orderBy(F.desc("n"), "size").first()
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("most")).orderBy(F.desc("n"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, n = sizes["size"], sizes["n"]
-    rows = rows.filter(F.size("v") == size)
-    sample = np.array([r.v for r in rows.sample(min(1.0, 1.2 * SAMPLE / n), seed=1).limit(SAMPLE).collect()] or [r.v for r in rows.limit(100).collect()])
+    rows = rows.filter(F.size("v") == size).select("vec_id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
+    kind = "<f4" if rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    wanted = store.write(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h", "g").distinct(), "queries")
+    vectors = store.write(_candidates(rows, wanted, k), "vectors")
+    sample = np.array([r.v for r in rows.sample(min(1.0, 1.2 * SAMPLE / n), seed=1).limit(SAMPLE).collect()] or [r.v for r in rows.limit(100).collect()], np.float64)
     curves = Curves(sample, sizes["most"])
-    keyed = _keyed(rows, curves, k, every)
     parts = max(shuffle_partitions(spark), math.ceil(n * ORDERINGS / PART_ROWS))
-    keyed = store.write(keyed, "orderings")
-    ordered = keyed.repartitionByRange(parts, "ordering", "key", "vec_id").sortWithinPartitions("ordering", "key", "vec_id")
-    near = store.write(_merged(ordered.mapInArrow(_near(k, every, reach), _FOUND), k), "windows")
-    bounds = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(-math.inf).alias("bound"))
-    one = keyed.filter("ordering = 0")
-    parts = max(1, math.ceil(n / PART_ROWS))
-    blocks = one.filter("candidate").select("key", "vec_id", "v", F.lit(0.0).alias("bound")).repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id")
-    blocks = store.write(blocks.select("vec_id", "v", "bound").mapInArrow(_packed(BLOCK), _PACK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    queries = one.filter(F.col("vec_id") % every == 0).select("key", "vec_id", "v").join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf)))
-    queries = queries.repartitionByRange(max(1, math.ceil(n / every / PART_ROWS)), "key", "vec_id").sortWithinPartitions("key", "vec_id")
-    chunks = store.write(queries.select("vec_id", "v", "bound").mapInArrow(_packed(CHUNK), _PACK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    pairs = store.write(_pairs(blocks, chunks), "pairs")
-    renamed = chunks.select("chunk", F.col("ids").alias("q_ids"), F.col("bounds").alias("q_bounds"), F.col("vectors").alias("q_vectors"))
-    scored = pairs.repartition("block", "chunk").join(blocks.select("block", "ids", "vectors"), "block").join(renamed, "chunk")
-    found = scored.mapInArrow(_scored(k, size), _FOUND).unionByName(near.select("query_id", "vec_id", "score"))
-    return _merged(found, k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pairs(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The pairs of a block and a chunk in which an inner product may reach a query's bound.
-
-    The driver and the tasks hold at most SUMMARIES summaries: beyond, neighbouring
-    blocks share one, which is looser and so leaves out fewer pairs.
-    """
-    spark = blocks.sparkSession
-    groups = max(1, math.ceil(blocks.count() / SUMMARIES))
-    numbered = blocks.select("block", "centre", "radius")
-    if groups > 1:
-        numbered = numbered.withColumn("group", F.floor(F.xxhash64(F.floor(F.col("block") / groups)) % SUMMARIES))
-    else:
-        numbered = numbered.withColumn("group", F.col("block"))
-    merged = {}
-    for r in numbered.select("group", "centre", "radius").toLocalIterator():
-        centre, radius = np.frombuffer(r.centre), r.radius
-        if r.group in merged:  # the ball about the first centre that holds both
-            c, old = merged[r.group]
-            centre, radius = c, max(old, float(np.sqrt(((c - centre) ** 2).sum())) + radius)
-        merged[r.group] = (centre, radius)
-    ids = np.array(list(merged), np.int64)
-    centres, radii = np.array([c for c, _ in merged.values()]), np.array([r for _, r in merged.values()])
-    far = np.sqrt((centres**2).sum(1)) if len(ids) else radii
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for chunk, centre, radius, bound in zip(*(part.column(c).to_pylist() for c in ("chunk", "centre", "radius", "bound")), strict=True):
-                c = np.frombuffer(centre)
-                most = centres @ c + np.sqrt((c**2).sum()) * radii + radius * far + radius * radii
-                hit = ids[most >= bound - 1e-9 * (1 + np.abs(most))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), chunk)), pa.array(hit)], ["chunk", "group"])
-
-    if not len(ids):
-        return spark.createDataFrame([], "chunk long, block long")
-    found = chunks.select("chunk", "centre", "radius", "bound").mapInArrow(batches, "chunk long, group long")
-    return found.join(numbered.select("block", "group"), "group").select("chunk", "block")
+    ordered = _keyed(vectors, curves).repartitionByRange(parts, "ordering", "key", "vec_id").sortWithinPartitions("ordering", "key", "vec_id")
+    shape = "ordering int, part int, at long, n long, ids binary, asks binary, vectors binary"
+    blocks = store.write(ordered.select("ordering", "vec_id", "asks", "v").mapInArrow(_blocks(block), shape), "packed")
+    blocks = store.write(blocks.join(small(_places(blocks)), ["ordering", "part", "at"]), "blocks")
+    reach = max(reach, _needed(vectors, blocks, k, target, probes))
+
+    # What an asker finds in its own blocks bounds what is worth finding elsewhere.
+    near = store.write(_merged(blocks.select("ids", "asks", "vectors").mapInArrow(_own(k + 1, size, kind), _FOUND), k + 1), "near")
+    bounds = near.filter(F.col("rank") == k + 1).select("asker", F.col("score").alias("bound"))
+    asking = vectors.filter("asks").select(F.col("vec_id").alias("asker"), "v").join(bounds, "asker", "left").select("asker", F.coalesce("bound", F.lit(-math.inf)).alias("bound"), "v")
+    askers = blocks.select("ordering", "block", "ids", "asks").mapInArrow(_askers, "ordering int, block long, asker long")
+    chunks = askers.join(asking.hint("merge"), "asker").groupBy("ordering", "block").agg(F.collect_list(F.struct("asker", "bound", "v")).alias("chunk"))  # a block's askers at most
+    order = Window.partitionBy("ordering").orderBy("first")
+    touched = blocks.select("ordering", "block", "first")
+    touched = touched.select("ordering", "block", F.min("block").over(order.rangeBetween(-(reach + block - 1), 0)).alias("low"), F.max("block").over(order.rangeBetween(0, reach + block - 1)).alias("high"))
+    chunks = store.write(chunks.join(touched.hint("merge"), ["ordering", "block"]), "chunks")
+    pairs = chunks.select("ordering", F.explode(F.filter(F.sequence("low", "high"), lambda b: b != F.col("block"))).alias("block"), "chunk")
+    scored = pairs.join(blocks.select("ordering", "block", "ids", "asks", "vectors").hint("merge"), ["ordering", "block"]).select("ids", "asks", "vectors", "chunk")
+    found = scored.mapInArrow(_windows(k + 1, size, kind), _FOUND).unionByName(near.select("asker", "vec_id", "score"))
+    lists = _merged(found, k + 1).groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))
+    answers = vectors.filter("asks").select(F.col("vec_id").alias("asker"), "h", "g").join(lists.hint("merge"), "asker").select("h", "g", "found")
+    answers = store.write(answers, "answers")
+    own = wanted.join(answers.hint("merge"), ["h", "g"]).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
