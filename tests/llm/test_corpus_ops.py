@@ -55,6 +55,24 @@ def test_shards(spark, tmp_path):
     assert all(len(s) == 1 for s in slots.values())
 
 
+@pytest.mark.parametrize("rows", ["equal", "null", "long"])
+def test_shards_of_hot_slots(spark, tmp_path, rows):
+    rng = random.Random(21)
+    pairs = [(i, prose(rng, 8)) for i in range(100)]
+    pairs += {"equal": [(7, "just the same text again")] * 400, "null": [(None, None)] * 500, "long": [(1000 + i, "long " * 400) for i in range(64)]}[rows]
+    got = sharding.shard(documents(spark, pairs), 8, str(tmp_path / "map"), slots=64 if rows == "long" else 4096).collect()
+    load, places = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(got) == len(pairs) and len(load) == 8
+    largest = max(r["size"] for r in got)
+    assert max(load.values()) - min(load.values()) <= max(0.02 * sum(load.values()) / 8, 2 * largest)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    stored = sharding.SlotMap.load(spark, str(tmp_path / "map"), 1)
+    assert stored == sharding.SlotMap.dealt(8, len(stored.shard_of))
+
+
 def test_slot_maps(spark, tmp_path):
     rng = random.Random(2)
     sizes = {s: rng.randint(1, 1000) for s in range(512)}
@@ -123,9 +141,38 @@ def test_pack(spark):
     assert len(batches) == sum(math.ceil(n / max(1, 4000 // next(r.bucket_tokens for r in rows if r.bucket == k))) for k, n in full.items())
 
 
-def test_bins(spark):
-    got = spark.range(1, 100_000, 37).select("id", packing.bin_of(F.col("id")).alias("b")).collect()
-    assert all(r.id <= r.b <= r.id * (1 + 1 / 32) for r in got) and all(r.id == r.b for r in got if r.id <= packing.EXACT)
+def test_boundaries_of_long_texts():
+    histogram = {50: 50, 20_000: 6, 40_000: 1}
+    assert packing.boundaries(histogram, 3) == [50, 20_000, 40_000]
+    rng = random.Random(20)
+    for _ in range(5):
+        histogram = {rng.randint(0, 10**6): rng.randint(1, 10**6) for _ in range(60)}
+        edges, k = sorted(histogram), rng.randint(1, 8)
+        best = {0: 0}  # by documents up to an edge, all partitions of the edges into k runs
+        for _ in range(k):
+            best = {j: min(c + sum(histogram[e] * (edges[j - 1] - e) for e in edges[i:j]) for i, c in best.items() if i <= j) for j in range(len(edges) + 1)}
+        got = packing.boundaries(histogram, k)
+        assert sum(n * (min(c for c in got if c >= e) - e) for e, n in histogram.items()) == best[len(edges)]
+
+
+def test_pack_over_budget(spark):
+    pairs = [*((i, "w " * 20_000) for i in range(6)), *((10 + i, "a b c") for i in range(50)), (100, "w " * 40_000), (101, "w " * 90_000)]
+    rows = {r.doc_id: r for r in packing.pack(documents(spark, pairs), buckets=3, budget=32_768).collect()}
+    assert len(rows) == len(pairs) and all(r.padding == 0 for r in rows.values())
+    assert {i for i, r in rows.items() if r.over_budget} == {100, 101}
+    assert len({rows[i].batch for i in range(6)}) == 6 and rows[100].batch != rows[101].batch
+
+
+def test_pack_by_given_lengths(spark):
+    pairs = [(i, "x") for i in range(40)]
+    rows = packing.pack(documents(spark, pairs), buckets=2, budget=100, length=F.col("doc_id")).collect()
+    assert sorted(r.n_tokens for r in rows) == list(range(40))
+
+
+def test_pack_repeated_rows(spark):
+    rows = packing.pack(documents(spark, [(None, None)] * 300 + [(1, "a b")] * 300), buckets=2, budget=20).collect()
+    batches = Counter((r.batch, r.place) for r in rows)
+    assert len(rows) == 600 == len(batches) and sorted({b for b, _ in batches}) == list(range(len({b for b, _ in batches})))
 
 
 # ---- lines
