@@ -126,6 +126,16 @@ def test_overlaps_widen(model):
     assert counter.widened > 0
 
 
+def test_unstable_stretches_take_linear_time(model):
+    import time
+
+    counter = token_counts.PieceCounter(open(queries.tokenizer("piece_bpe_32k.model"), "rb").read())
+    for t in ("a" * 1_500_000, "ab" * 500_000, " " * 1_000_000, "the end " * 5000 + "=" * 300_000 + " and on " * 5000):
+        began = time.perf_counter()
+        assert counter.count(t) == len(model.encode(t))
+        assert time.perf_counter() - began < 20
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
@@ -146,6 +156,30 @@ def test_bpe_round_trip(spark, library):
     assert [r.text for r in bpe.decode_documents(encoded, path).collect()] == [t or "" for t in texts]
 
 
+def test_long_words(library, monkeypatch):
+    rng = random.Random(30)
+    coder = bpe.ByteBPE(open(queries.tokenizer("byte_bpe_50k.json"), "rb").read())
+    texts = ["a" * 200_000, "hello" * 9000, "".join(rng.choices("etaoinshrdlu", k=30_000)), "".join(rng.choices("0123456789", k=9000)), "é漢" * 4000, "\n" * 5000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in texts] == want
+    monkeypatch.setattr(bpe, "KEPT_TRANSITIONS", 50)  # the table begins anew inside of words
+    coder.transitions.forget()
+    assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in texts] == want
+
+
+def test_every_transition_has_one_label():
+    """All labels that arcs allow at a place, found by trying every token, are the one that the table gives."""
+    rng = random.Random(31)
+    coder = bpe.ByteBPE(open(queries.tokenizer("byte_bpe_50k.json"), "rb").read())
+    for _ in range(60):
+        word = "".join(rng.choices("theaing .", k=rng.randint(1, 30))).encode()
+        last = coder.transitions.labels(word)
+        for end in range(1, len(word) + 1):
+            fits = [i for i in (coder.ids.get(word[at:end]) for at in range(end)) if i is not None]
+            fits = [i for i in fits if end == coder.size[i] or coder.automaton.arc(last[end - coder.size[i] - 1], i)]
+            assert fits == [last[end - 1]]
+
+
 def explicit_automaton(letters, merges):
     """The gadget construction with all states and arcs written out."""
     arcs = {0: dict.fromkeys(letters, 0)}
@@ -214,3 +248,42 @@ def test_licence_rules_are_ordered():
 
 def test_crc_is_unsigned():
     assert zlib.crc32("é".encode()) >= 0
+
+
+def test_empty_tables(spark):
+    none = documents(spark, [])
+    assert quality.quality(none).count() == 0 and quality.keep_good(none).count() == 0
+    assert token_counts.token_counts(none, queries.tokenizer("piece_bpe_32k.model")).count() == 0
+    path = queries.tokenizer("byte_bpe_50k.json")
+    assert bpe.round_trip(none, path).count() == 0 and bpe.decode_documents(bpe.encode_documents(none, path), path).count() == 0
+    assert licenses.scan_licenses(none).count() == 0
+
+
+def plain_verdict(t, chunk=4096):
+    """The verdict of the compression bands, written out anew."""
+    raw = (t or "").encode()
+    if plain_quality(t)[-1]:
+        return False
+
+    def inside(piece):
+        ratio, limits = len(zstandard.ZstdCompressor(level=3).compress(piece)) / len(piece), None
+        for least, low, high in quality.BANDS:
+            if len(piece) >= least:
+                limits = low, high
+        return limits[0] <= ratio <= limits[1]
+
+    pieces = [raw[i : i + chunk] for i in range(0, len(raw), chunk)]
+    outside = sum(len(p) for p in pieces if not inside(p)) if len(pieces) > 1 else 0
+    return inside(raw) and 3 * outside <= len(raw)
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(32)
+    word = lambda letters="etaoinshrdlu": "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    texts = [*ODD]
+    for _ in range(60):
+        kinds = {"prose": lambda: word(), "noise": lambda: "".join(chr(rng.randint(33, 0x24F)) for _ in range(9)), "few": lambda: rng.choice(["alpha", "beta", "gamma"]) + str(rng.randint(0, 30)), "hex": lambda: f"{rng.getrandbits(64):x}"}
+        texts.append(" ".join(kinds[k]() for k in rng.choices([*kinds], k=rng.randint(1, 3)) for _ in range(rng.choice([10, 60, 300, 2000]))))
+    got = by_text(quality.quality(documents(spark, texts).coalesce(1)), "kept")
+    want = [(plain_verdict(t),) for t in texts]
+    assert got == want and {w for (w,) in want} == {True, False}

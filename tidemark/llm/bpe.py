@@ -11,13 +11,22 @@ Cognetta and Okazaki 2024).
 
 The states of 50,000 merges share nearly all arcs, so a state is stored as what
 its gadgets changed: the state it was copied from, when, and the arcs cut from
-it (``_cut``).  ``arc`` reads an arc through these and ``_arcs`` is the
-transition table of the arcs that were asked for.
-
-A word is encoded along the arcs from its first byte, longest label first; a
-dead end is remembered and left for the next shorter label.  Decoding emits the
-labels of the arcs.  Texts are whole; null is an empty text; special tokens in a
-text are tokens of their own, as the file lists them.
+it (``_cut``).
+
+``Transitions`` compiles this into a deterministic automaton over bytes.  Every
+prefix of a word has one path, so it ends in one label; what decides the labels
+further on is that label and, for each shorter suffix that some token begins with,
+the node of that suffix in the trie of all tokens and the label before it.  This is
+a state.  Its transition by a byte moves all nodes on, and the one token that ends
+there and whose arc the automaton has is the next label.  States and transitions are
+numbered and kept in a table as words first need them, and a word is encoded by one
+look-up a byte, without search or return; its labels are then read back from its
+end.  Decoding emits the labels of the arcs.
+
+Texts are whole; null is an empty text; special tokens in a text are tokens of their
+own, as the file lists them.  Each row is encoded by itself, so repeated rows give
+equal rows; an empty table gives an empty one; columns other than doc_id and text
+play no part.
 """
 
 from __future__ import annotations
@@ -36,8 +45,8 @@ from tidemark.llm.runtime import ship
 
 #: Fixed value: the pre-split pattern of byte-level BPE files, with white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words and arcs kept by a worker.
-KEPT_WORDS, KEPT_ARCS = 700_000, 2_000_000
+#: Words and transitions kept by a worker.
+KEPT_WORDS, KEPT_TRANSITIONS = 700_000, 250_000
 START = -1
 _loaded: dict[str, ByteBPE] = {}
 
@@ -57,7 +66,6 @@ class MergeAutomaton:
         self._first: dict[int, int] = {}
         self._copied: dict[int, int] = {}
         self._cut: dict[tuple[int, int], int] = {}
-        self._arcs: dict[tuple[int, int], bool] = {}
 
     def gadget(self, u: int, v: int, w: int) -> None:
         """The next merge, u v -> w."""
@@ -83,14 +91,70 @@ class MergeAutomaton:
                 state, time = self._copied[state], a - 1
 
     def arc(self, state: int, label: int) -> bool:
-        """Whether label may follow: an entry of the transition table."""
-        key = (state, label)
-        found = self._arcs.get(key)
+        """Whether label may follow."""
+        return self._arc_at(state, label, self.time)
+
+
+class Transitions:
+    """The automaton over bytes: its trie of tokens, and the table of states and transitions met so far."""
+
+    def __init__(self, automaton: MergeAutomaton, ids: dict[bytes, int]):
+        self.arc = automaton.arc
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
+        self.token = [START]
+        for raw, label in ids.items():
+            node = 0
+            for b in raw:
+                key = node << 8 | b
+                if key not in self.child:
+                    self.child[key] = len(self.token)
+                    self.token.append(START)
+                node = self.child[key]
+            self.token[node] = label
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty table but for the first state."""
+        first = ((START, 0),)  # (label before a suffix, the suffix's node)
+        self.states, self.number, self.table = [first], {first: 0}, {}
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition's state and label, compiled into the table."""
+        after, last = [], None
+        for label, node in self.states[state]:
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                continue
+            after.append((label, node))
+            token = self.token[node]
+            if token != START and (label == START or self.arc(label, token)):
+                last = token
+        if last is None:
+            raise ValueError("no path spells this word")
+        to = (*after, (last, 0))
+        found = self.number.get(to)
         if found is None:
-            if len(self._arcs) >= KEPT_ARCS:
-                self._arcs.clear()
-            found = self._arcs[key] = self._arc_at(state, label, self.time)
-        return found
+            found = self.number[to] = len(self.states)
+            self.states.append(to)
+        out = self.table[state << 8 | byte] = found, last
+        return out
+
+    def labels(self, word: bytes) -> list[int]:
+        """The last label of each prefix of a word."""
+        table, state, out = self.table, 0, []
+        for byte in word:
+            found = table.get(state << 8 | byte)
+            if found is None:
+                found = self.step(state, byte)
+                if len(table) >= KEPT_TRANSITIONS:  # begin an empty table at this state
+                    at = self.states[found[0]]
+                    self.forget()
+                    table, found = self.table, (len(self.states), found[1])
+                    self.states.append(at)
+                    self.number[at] = found[0]
+            state = found[0]
+            out.append(found[1])
+        return out
 
 
 class _Words(dict):
@@ -121,7 +185,8 @@ class ByteBPE:
             u, v = (raw(t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
             self.automaton.gadget(ids[u], ids[v], ids[u + v])
             self.ids[u + v] = ids[u + v]
-        self.longest = max(map(len, self.ids))
+        self.transitions = Transitions(self.automaton, self.ids)
+        self.size = {i: len(t) for t, i in self.ids.items()}
         self.label = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for t, i in ids.items():
             self.label[i] = t
@@ -133,29 +198,14 @@ class ByteBPE:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the path that spells a pre-split word."""
-        ids, arc, n = self.ids, self.automaton.arc, len(word)
-        path: list[tuple[int, int, int]] = []  # (start, end, label)
-        dead: set[tuple[int, int]] = set()  # (offset, state) that no path goes on from
-        at, state, end = 0, START, min(n, self.longest)
-        while at < n:
-            label = None
-            while end > at:
-                label = ids.get(word[at:end])
-                if label is not None and (state == START or arc(state, label)) and (end, label) not in dead:
-                    break
-                label = None
-                end -= 1
-            if label is None:
-                dead.add((at, state))
-                if not path:
-                    raise ValueError("no path spells this word")
-                at, end, _ = path.pop()
-                state = path[-1][2] if path else START
-                end -= 1
-                continue
-            path.append((at, end, label))
-            at, state, end = end, label, min(n, end + self.longest)
-        return [label for _, _, label in path]
+        last, size = self.transitions.labels(word), self.size
+        out, at = [], len(word)
+        while at:
+            label = last[at - 1]
+            out.append(label)
+            at -= size[label]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -7,7 +7,9 @@ is proven stable: no piece of the vocabulary matches the text across it.  BPE
 only ever merges two symbols into a piece, so no merge crosses such an offset in
 either chunk or in the whole text, and the tokens on each side are those of the
 whole text.  Where an overlap has no such offset it is doubled, at the utmost
-until it starts where the last splice was, when the two chunks are one.
+until it starts where the last splice was, when the two chunks are one.  Such a
+stretch without a stable offset (a run of one character, say) is then made twice as
+long, so that encoding it again costs as much as encoding it, not its square.
 
 Null and empty texts have 0 bytes and 0 tokens.  Equal rows give equal rows; an
 empty table gives an empty one.  Further input columns play no part.
@@ -28,6 +30,8 @@ from tidemark.llm.runtime import ship
 
 #: Characters of a chunk and of its overlap with the one before.
 CHUNK, OVERLAP = 16_384, 256
+#: Offsets' surroundings whose stability a worker remembers.
+KEPT = 200_000
 _models: dict[str, PieceCounter] = {}
 
 
@@ -47,6 +51,7 @@ class PieceCounter:
             else:
                 self.width[i] = len(self.model.id_to_piece(i))
         self.widened = 0
+        self._stable: dict[str, bool] = {}  # by what stands around an offset
 
     def ends(self, text: str) -> np.ndarray:
         """Of each token of a text the offset after it; the leading space that the model adds has width 0."""
@@ -54,9 +59,17 @@ class PieceCounter:
 
     def stable(self, text: str, at: int) -> bool:
         """Whether no piece matches across an offset."""
-        near = text[max(0, at - self.reach + 1) : at + self.reach - 1].replace(" ", "▁")
         mid = min(at, self.reach - 1)
-        return not any(near[mid - a : mid + b] in self.pieces for a in range(1, mid + 1) for b in range(1, min(self.reach - a, len(near) - mid) + 1))
+        near = text[at - mid : at + self.reach - 1]
+        key = f"{mid} {near}"
+        found = self._stable.get(key)
+        if found is None:
+            if len(self._stable) >= KEPT:
+                self._stable.clear()
+            near = near.replace(" ", "▁")
+            found = not any(near[mid - a : mid + b] in self.pieces for a in range(1, mid + 1) for b in range(1, min(self.reach - a, len(near) - mid) + 1))
+            self._stable[key] = found
+        return found
 
     def splice(self, text: str, left: np.ndarray, right: np.ndarray, start: int, end: int) -> int | None:
         """The first stable boundary of both sides in the overlap, away from its edges."""
@@ -76,9 +89,9 @@ class PieceCounter:
             while True:
                 start = max(at, end - overlap)
                 if start == at:  # the two chunks are one, encoded from the last splice
+                    stop = min(len(text), end + max(self.chunk, end - at))
                     # before a splice that isn't the text's start the model's own leading space must not count
-                    shift, more = at, self.ends_from(text, at, stop)
-                    ends = more
+                    ends = self.ends_from(text, at, stop)
                     break
                 more = self.ends(text[start:stop]) + start
                 found = self.splice(text, ends, more, start, end)
