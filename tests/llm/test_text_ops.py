@@ -246,6 +246,90 @@ def test_licence_rules_are_ordered():
     assert [m.license for m in scanner.scan("SPDX-License-Identifier: GPL-3.0-only")] == ["GPL-3.0-only"]
 
 
+def plain_licences(scanner, text):
+    """All runs of segments looked up as wholes, and all rules tried in order."""
+    raw = re.split(r"\n|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+", text)
+    own = [(i, licenses.words_of(s)) for i, s in enumerate(raw)]
+    own = [(i, w) for i, w in own if w]
+    found, at = [], 0
+    while at < len(own):
+        runs = [(last, " ".join(w for _, ws in own[at : last + 1] for w in ws)) for last in range(at, min(len(own), at + 90))]
+        hits = [(last, scanner.known[run]) for last, run in runs if run in scanner.known]
+        if hits:
+            found.append((at, hits[-1][0], hits[-1][1]))
+            at = hits[-1][0]
+        at += 1
+    out, used = [], set()
+    rules = licenses.sequences()
+    for i in range(len(found)):
+        for license, names in rules if i not in used else ():
+            places = []
+            for name in names:
+                after = [p for p in range(i if not places else places[-1] + 1, len(found)) if p not in used and found[p][2] == name]
+                if not after or (places and found[after[0]][0] - found[places[-1]][1] - 1 > 2) or (not places and after[0] != i):
+                    break
+                places.append(after[0])
+            else:
+                used |= set(places)
+                out.append((license, len(names), own[found[places[0]][0]][0], own[found[places[-1]][1]][0]))
+                break
+    return out
+
+
+def wrapped_at(words, width):
+    lines = [""]
+    for w in words:
+        if lines[-1] and len(lines[-1]) + len(w) >= width:
+            lines.append("")
+        lines[-1] += (" " if lines[-1] else "") + w
+    return lines
+
+
+def test_licences_against_brute_force():
+    rng = random.Random(33)
+    scanner = licenses.Scanner()
+    names = list(licenses.SENTENCES)
+    total = 0
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            _, rule = rng.choice(licenses.RULES)
+            for name in rule.split():
+                if name.endswith("?") and rng.random() < 0.4:
+                    continue
+                name = name.removesuffix("?") if rng.random() < 0.95 else rng.choice(names)
+                sentence = rng.choice(licenses.SENTENCES.get(name) or [f"Released under {licenses.NAMES[name[7:]][0]}"])
+                head, mark = rng.choice([("", ""), ("", "1. "), ("// ", ""), (" * ", ""), ("# ", "(a) ")])
+                text += [head + x for x in wrapped_at((mark + sentence).split(), rng.choice([20, 24, 30, 36, 45, 60, 79, 500]))]
+                text += [rng.choice(["", "*" * 210, "some other line", " " * 150])] * rng.choice([0, 0, 1, 1, 3])
+        text = "\n".join(text)
+        got = [(m.license, m.n_sentences, m.first, m.last) for m in scanner.scan(text)]
+        assert got == plain_licences(scanner, text)
+        total += len(got)
+    assert total > 200
+
+
+@pytest.mark.parametrize("width", [20, 24, 30, 36, 45, 80, 1000])
+def test_whole_licences_at_any_width(width):
+    scanner = licenses.Scanner()
+    for license, rule in licenses.RULES:
+        if not rule.startswith("notice."):
+            text = "\n\n".join("\n".join(" * " + x for x in wrapped_at(licenses.SENTENCES[n.removesuffix("?")][0].split(), width)) for n in rule.split())
+            assert [(m.license, m.n_sentences) for m in scanner.scan(text)] == [(license, len(rule.split()))], license
+
+
+def test_licence_names_and_expressions():
+    name = lambda t: [m.license for m in licenses.Scanner().scan(t)]
+    assert name("Released under the MIT licence.") == ["MIT"] and name("License: EUPL 1.2") == ["EUPL-1.2"]
+    assert name("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["MIT OR Apache-2.0"]
+    assert name("SPDX-License-Identifier: bsl-1.0\ncode") == ["BSL-1.0"]
+    assert name("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND (MIT OR ISC) */") == ["(GPL-2.0-only WITH Linux-syscall-note) AND (MIT OR ISC)"]
+    assert name("SPDX-License-Identifier: none of these") == [] and name("SPDX-License-Identifier:") == []
+    assert name("*" * 210 + " All rights reserved.") == ["LicenseRef-all-rights-reserved"] and name("All" + " " * 120 + "rights reserved.") == ["LicenseRef-all-rights-reserved"]
+    assert name("Apache License\n    Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION") == ["Apache-2.0"]
+    assert name("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n") == ["GPL-3.0-only"] and name("GNU GENERAL PUBLIC LICENSE") == []
+
+
 def test_crc_is_unsigned():
     assert zlib.crc32("é".encode()) >= 0
 
