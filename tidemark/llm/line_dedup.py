@@ -13,12 +13,14 @@ template's first document (least doc_id, null last, then least hash of the row).
 
 A document is a row; rows equal in doc_id and text count as one and fare alike.
 Null and empty texts have no lines with tokens and lose nothing.  Lines without
-tokens are never dropped.  Columns other than doc_id and text play no part, an
+tokens are never dropped.  Very long texts and lines are taken whole.  Columns other
+than doc_id and text play no part and come back as they are, whatever their names; an
 empty table gives an empty one.
 
 All of it is aggregations and joins on hashes: lines go through shuffles as
 numbers, and only lines of leaves that reach ``min_docs`` documents are ever
-split into tokens.  Hot lines are pre-aggregated before each shuffle.
+split into tokens.  Hot lines are pre-aggregated before each shuffle, and what lines
+are joined with is stored first, so that a leaf of very many lines is split over tasks.
 """
 
 from __future__ import annotations
@@ -26,23 +28,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Durable, small
+from tidemark.llm.runtime import Durable, fresh, small
 
 DEPTH, MIN_DOCS, CONSTANT = 3, 6, 0.75
 WILD = "<*>"
 _WHITE = r"[\x20\x09\x0B-\x0D]+"
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _key(of: str = "") -> Column:
+    return F.xxhash64(f"{of}doc_id", f"{of}text")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """Each line with a token: its document, place, token count, leaf, hash and normalised text."""
-    rows = documents.select("doc_id", _key().alias("key"), F.posexplode(F.split(F.regexp_replace("text", _WHITE, " "), "\n")).alias("pos", "line"))
+    # the key first: beside a generator it would be made again, from the whole text, for each line
+    rows = documents.select("doc_id", _key().alias("key"), F.split(F.regexp_replace("text", _WHITE, " "), "\n").alias("lines"))
+    rows = rows.select("doc_id", "key", F.posexplode("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), r"[^ ]*[0-9][^ ]*", WILD)
+    # begins at tokens only and never goes back, so that a very long token costs its length once
+    lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("hash", F.xxhash64("line"))
 
 
@@ -52,22 +57,23 @@ def dropped(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CO
     documents = documents.select("doc_id", "text")
     lines = store.write(_lines(documents).drop("line"), "lines")
     held = lines.groupBy("leaf", "hash", "n", "key").agg(F.min("doc_id").alias("doc_id"))  # a document once for each distinct line
-    of_line = held.groupBy("leaf", "hash", "n").agg(F.count(F.lit(1)).alias("docs"))
+    of_line = store.write(held.groupBy("leaf", "hash", "n").agg(F.count(F.lit(1)).alias("docs")), "distinct-lines")
     in_leaf = of_line.groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    of_line = store.write(of_line.join(in_leaf.select("leaf").hint("merge"), "leaf", "left_semi"), "leaves")
-    leaves = of_line.select("leaf").distinct()
-    texts = _lines(documents).select("leaf", "hash", "n", "line").join(small(leaves), "leaf", "left_semi")
+    leaves = small(store.write(in_leaf.select("leaf"), "leaves"))
+    of_line = of_line.join(leaves, "leaf", "left_semi")
+    texts = _lines(documents).select("leaf", "hash", "n", "line").join(leaves, "leaf", "left_semi")
     texts = texts.groupBy("hash").agg(F.first("line").alias("line"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
     tokens = texts.join(of_line.select("hash", "docs"), "hash").select("leaf", "hash", "n", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = store.write(tokens.select("leaf", "hash", "n", "docs", "at", F.xxhash64("at", "token").alias("word")), "tokens")
     support = tokens.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "word")
-    kept = tokens.join(support.hint("merge"), ["leaf", "word"], "left_semi")
+    kept = tokens.join(small(store.write(support, "support")), ["leaf", "word"], "left_semi")
     shapes = kept.groupBy("leaf", "hash", "n").agg(F.bit_xor("word").alias("template"), F.bit_xor(F.xxhash64("word", "at")).alias("shape"), F.count(F.lit(1)).alias("fixed"))
-    shapes = shapes.filter(F.col("fixed") >= constant * F.col("n")).select("leaf", "hash", "template", "shape")
-    of_template = held.join(shapes, ["leaf", "hash"]).groupBy("leaf", "template", "shape", "key").agg(F.min("doc_id").alias("doc_id"))
+    shapes = store.write(shapes.filter(F.col("fixed") >= constant * F.col("n")).select("leaf", "hash", "template", "shape"), "shapes")
+    of_template = held.join(small(shapes), ["leaf", "hash"]).groupBy("leaf", "template", "shape", "key").agg(F.min("doc_id").alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     recurring = of_template.groupBy("leaf", "template", "shape").agg(F.count(F.lit(1)).alias("docs"), least).filter(F.col("docs") >= min_docs)
-    verdict = shapes.join(recurring, ["leaf", "template", "shape"]).select("hash", "leaf", F.col("first.key").alias("first_key"))
+    recurring = store.write(recurring.select("leaf", "template", "shape", "first"), "recurring")
+    verdict = shapes.join(small(recurring), ["leaf", "template", "shape"]).select("hash", "leaf", F.col("first.key").alias("first_key"))
     verdict = store.write(verdict, "templates")
     gone = lines.join(small(verdict), ["leaf", "hash"]).filter(F.col("key") != F.col("first_key"))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
@@ -86,10 +92,10 @@ def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float =
 def without_lines(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """The documents with their texts less the dropped lines; those that lose every line with a token go."""
     gone = small(Durable(documents.sparkSession, "line-dedup").write(dropped(documents, min_docs, constant), "dropped"), lists="dropped").alias("g")
-    rows = documents.withColumn("__key", _key()).alias("r")
-    both = rows.join(gone, (F.col("r.__key") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    both = documents.alias("r").join(gone, (_key("r.") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     parts = F.split("r.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("g.dropped"))
     text = F.when(F.col("g.dropped").isNull(), F.col("r.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    both = both.select(*(text.alias("text") if c == "text" else F.col(f"r.`{c}`") for c in documents.columns), F.col("g.dropped").isNotNull().alias("__cut"))
-    return both.filter(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
+    cut = fresh("_cut", documents)
+    both = both.select(*(text.alias("text") if c == "text" else F.col(f"r.`{c}`") for c in documents.columns), F.col("g.dropped").isNotNull().alias(cut))
+    return both.filter(~F.col(cut) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(cut)
