@@ -3,30 +3,37 @@
 Words are lower-cased runs of bytes other than ASCII white space.  Paragraphs are
 of two kinds, as a copied passage may fill whole lines or stand inside of one:
 
-* lines, runs of neighbouring lines of fewer than ``MIN_LINE`` words each (a wrapped
+* lines, runs of neighbouring lines of fewer than ``min_line`` words each (a wrapped
   paragraph) and, in texts with blank lines, the blocks between them, all of at least
   ``MIN_INDEX`` words, which is one shingle.  What a document shares with one first
-  document goes if neighbouring ones reach ``MIN_LINE`` words.  ``BANDS`` bands of ``ROWS`` MinHash values
-  of their 5-word shingles find pairs of a similarity of 0.8 with probability
-  0.998; each colliding pair that could join two components is verified by the
-  exact Jaccard similarity of the shingle sets, which must reach 0.8;
-* runs of three pieces between content-defined anchors, which lie where a shingle's
-  hash is the least of a window of ``WINDOW`` shingles.  Anchors are at most
-  ``WINDOW`` words apart and depend only on the words around them, so any passage
-  of 51 words holds whole pieces of 28 words or more, at least three, wherever it
-  stands.  Their one band is the hash of all their words, so runs that collide are
-  equal.
-
-Clusters are the components of verified links between lines, equal lines being
-linked, and the groups of equal runs.  A cluster in two documents or more repeats; it is kept in its first
+  document goes if neighbouring ones reach ``min_line`` words;
+* runs between content-defined anchors, which lie where a 5-word shingle's hash is the
+  least of a window of ``WINDOW`` shingles.  A run goes from an anchor to the first
+  one at least ``RUN`` words on.  Anchors inside a passage are at most ``WINDOW`` words
+  apart and depend only on the words around them, so any passage of
+  2 * WINDOW + RUN + 3 = 51 words holds a whole run, wherever it stands.
+
+Both kinds go the same way.  MinHash values of their shingles give bands: lines have
+``BANDS`` bands of ``ROWS`` values, which meet at a similarity of 0.8 with probability
+0.998; runs, which overlap, so that a passage has several of them, have one band of
+``RUN_ROWS``.  Paragraphs that meet in a band are candidates.  Those of the same words
+are one paragraph: a 64-bit hash of all words in order and an independent 64-bit
+MinHash band must both be equal (unlike paragraphs of one hash are left alone).  Of the
+others each pair that could join two components is verified by the exact Jaccard
+similarity of the shingle sets, which must reach ``percent``.
+
+Clusters are the components of verified links, and the paragraphs of the same words
+without one.  A cluster in two documents or more repeats; it is kept in its first
 document (least doc_id, null last, then least hash of the row) and removed from
 the others.  Overlapping repeating runs make a passage, which is grown word by word
-to both sides as far as the first document has the same words there; passages of
-fewer than ``MIN_PASSAGE`` words are left alone, so a short common line alone is no finding.
+to both sides as far as the first document has the same words there; a passage that
+holds runs of the very same words starts and ends with these.  Passages of
+fewer than ``min_passage`` words are left alone, so a short common line alone is no finding.
 
 A document is a row; rows equal in doc_id and text count as one.  Null, empty and
-short texts have no paragraphs.  An empty table gives an empty result; columns
-other than doc_id and text play no part.
+short texts have no paragraphs; very long ones are read whole.  An empty table gives
+an empty result; columns other than doc_id and text play no part and come back as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,16 +46,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.runtime import Durable, ship, small
+from tidemark.llm.runtime import Durable, fresh, map_batches, ship, small
 from tidemark.llm.similarity import labelled, linked_across, split, star, verified
 
 PERCENT = 80
-#: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS.
-ROWS, BANDS = 2, 6
-MIN_INDEX, MIN_LINE, MIN_PASSAGE, WINDOW = 5, 25, 28, 10
-_PIECE, _LINE = 0, 1
-#: Words from the end of a copied passage to the first anchor inside, at most.
-BEFORE, AFTER = WINDOW - 1, WINDOW + 4
+#: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS for lines, s ** RUN_ROWS for each of a passage's runs.
+ROWS, BANDS, RUN_ROWS = 2, 6, 4
+MIN_INDEX, MIN_LINE, MIN_PASSAGE, WINDOW, RUN = 5, 25, 28, 12, 24
+_RUN, _LINE = 0, 1
+#: Words between the end of a copied passage and the runs inside, at most.
+BEFORE, AFTER = WINDOW - 1, 2 * WINDOW + 4
 _seeds = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,31 +79,55 @@ def anchors(total: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.
     return np.flatnonzero(found)
 
 
-def _hash_runs(word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the words of each run; the runs partition the words."""
+_BASE = 0xD6E8FEB86659FD93
+#: Tells the digests of runs from those of lines.
+_OF_RUN = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
+def _hash_spans(word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words of each span; spans may overlap."""
     from tidemark.llm import text
 
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(word)) - np.repeat(starts, ends - starts)
-    power = np.cumprod(np.full(int(place.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
-    return text.mix(np.add.reduceat(word * power[place], starts) + (ends - starts).astype(np.uint64))
+    power = np.cumprod(np.full(len(word), _BASE, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * power)])
+    shift = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(word), _INVERSE, np.uint64))])
+    return text.mix((total[ends] - total[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
+
+
+def _least(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least value of each span (none empty)."""
+    return np.minimum.reduceat(np.append(value, np.uint64(0)), np.stack([starts, ends], 1).reshape(-1))[::2]
+
 
+def _runs(cuts: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the runs from each anchor to the first one at least RUN words on, or to the text's end after as many."""
+    edges = np.unique(np.concatenate([cuts, offsets]))
+    starts = cuts[cuts < n]
+    to = np.searchsorted(edges, starts + RUN)
+    end_of_text = offsets[np.minimum(np.searchsorted(offsets, starts, "right"), len(offsets) - 1)]
+    fits = to < len(edges)
+    ends = np.where(fits, edges[np.minimum(to, len(edges) - 1)], n + 1)
+    fits &= ends <= end_of_text
+    return starts[fits], ends[fits]
 
-def _paragraphs(word: np.ndarray, offsets: np.ndarray, lines: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _paragraphs(word: np.ndarray, offsets: np.ndarray, lines: np.ndarray, blocks: np.ndarray, min_line: int = MIN_LINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words, ends and digests of the lines, of runs of short lines and of blocks between blank lines."""
     begins = lines[lines < len(word)]
     if not len(begins):
         return begins, begins, np.zeros(0, np.uint64)
     fresh = np.isin(begins, blocks)
-    long = np.append(begins[1:], len(word)) - begins >= MIN_LINE
+    long = np.append(begins[1:], len(word)) - begins >= min_line
     head = fresh | long
     head[1:] |= long[:-1]
     found = []
     for first in (np.ones(len(begins), bool), head, fresh):
         starts = begins[first]
         ends = np.append(starts[1:], len(word))
-        found.append((starts, ends, _hash_runs(word, starts, ends)))
+        found.append((starts, ends, _hash_spans(word, starts, ends)))
     starts, ends, _ = found[2]
     parted = ~(np.isin(starts, offsets) & np.isin(ends, offsets))  # a text without blank lines is no block
     found[2] = tuple(x[parted] for x in found[2])
@@ -106,27 +137,24 @@ def _paragraphs(word: np.ndarray, offsets: np.ndarray, lines: np.ndarray, blocks
     return starts[at], ends[at], digest[at]
 
 
-def _bands(word: np.ndarray, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """BANDS keys of each line (all of at least 5 words)."""
+def _bands(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The keys of each paragraph's bands (all of at least 5 words)."""
     from tidemark.llm import text
 
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    if not len(starts):
-        return out
-    edges = np.stack([starts, ends - text.WIDTH + 1], 1).reshape(-1)
-    for band in range(BANDS):
-        for row in range(ROWS):
-            least = np.minimum.reduceat(np.append(total * _seeds[band * ROWS + row], np.uint64(0)), edges)[::2]
-            out[:, band] = text.mix(out[:, band] + least)
+    out = np.zeros((len(starts), bands), np.uint64)
+    for band in range(bands if len(starts) else 0):
+        for row in range(rows):
+            out[:, band] = text.mix(out[:, band] + _least(total * _seeds[band * rows + row], starts, ends - text.WIDTH + 1))
         out[:, band] += np.uint64(band)
     return out
 
 
-def _units(documents: DataFrame) -> DataFrame:
-    """The paragraphs: who, kind, first word, number of words, digest and bands (lines only)."""
+def _units(documents: DataFrame, kind: int, min_line: int) -> DataFrame:
+    """The paragraphs of a kind: who, first word, number of words, digest and band (a run's, or a line's first one) and the bands of lines."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
+    names = ["who", "start", "n", "digest", "band", *["bands"] * (kind == _LINE)]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -136,27 +164,22 @@ def _units(documents: DataFrame) -> DataFrame:
                 if not len(word):
                     continue
                 total = text.windows(word)
-                cuts = np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]]))
-                cuts = cuts[cuts < len(word)]
-                ends = np.append(cuts[1:], len(word))
-                begins, stops, line_digest = _paragraphs(word, offsets, lines, blocks)
-                bands = _bands(word, total, begins, stops).view(np.int64)
-                pieces, three = _hash_runs(word, cuts, ends), max(0, len(cuts) - 2)
-                of_cut = np.searchsorted(offsets, cuts, "right") - 1
-                whole = np.flatnonzero(of_cut[:three] == of_cut[2:])
-                run = text.mix(pieces[whole] * text._PLACE[0] + pieces[whole + 1] * text._PLACE[1] + pieces[whole + 2] * text._PLACE[2])
-                start, stop = np.concatenate([cuts[whole], begins]), np.concatenate([ends[whole + 2], stops])
+                if kind == _LINE:
+                    start, stop, digest = _paragraphs(word, offsets, lines, blocks, min_line)
+                    bands = _bands(total, start, stop, BANDS, ROWS)
+                else:
+                    start, stop = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
+                    digest, bands = _hash_spans(word, start, stop) ^ _OF_RUN, _bands(total, start, stop, 1, RUN_ROWS)
                 own = np.searchsorted(offsets, start, "right") - 1
-                kind = np.repeat(np.array([_PIECE, _LINE], np.int8), [len(whole), len(begins)])
-                digest = np.concatenate([run, line_digest]).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(whole), np.int32), np.arange(len(begins) + 1, dtype=np.int32) * BANDS])), pa.array(bands.reshape(-1)))
-                columns = [rows.column("who").take(pa.array(own)), pa.array(kind), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest), listed]
-                yield pa.RecordBatch.from_arrays(columns, ["who", "kind", "start", "n", "digest", "bands"])
+                columns = [rows.column("who").take(pa.array(own)), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.ascontiguousarray(bands[:, 0]).view(np.int64))]
+                if kind == _LINE:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select("who", "text").mapInArrow(batches, "who long, kind byte, start int, n int, digest long, bands array<long>")
+    return documents.select("who", "text").mapInArrow(batches, "who long, start int, n int, digest long, band long" + ", bands array<long>" * (kind == _LINE))
 
 
-def _line_sets(documents: DataFrame) -> DataFrame:
+def _sets(documents: DataFrame, min_line: int) -> DataFrame:
     """digest and distinct shingles of each paragraph."""
     from tidemark.llm import text
 
@@ -164,10 +187,16 @@ def _line_sets(documents: DataFrame) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 1000):
-                word, offsets, lines, blocks = text.words_and_blocks(part.slice(at, 1000).column("text"))
-                begins, stops, digest = _paragraphs(word, offsets, lines, blocks)
-                found = text.sets(word, text.windows(word), begins, ends=stops)
+            for at in range(0, part.num_rows, 250):
+                word, offsets, lines, blocks = text.words_and_blocks(part.slice(at, 250).column("text"))
+                if not len(word):
+                    continue
+                total = text.windows(word)
+                start, stop, digest = _paragraphs(word, offsets, lines, blocks, min_line)
+                run, end = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
+                digest = np.concatenate([digest, _hash_spans(word, run, end) ^ _OF_RUN])
+                digest, once = np.unique(digest, return_index=True)
+                found = text.sets(word, total, np.concatenate([start, run])[once], ends=np.concatenate([stop, end])[once])
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["digest", "tokens"])
@@ -179,28 +208,35 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "who")).alias("first")
 
 
-def _near_lines(documents: DataFrame, units: DataFrame, store: Durable, percent: int) -> DataFrame:
-    """digest and cluster of the lines that are linked to a line of other words or stand in two documents."""
-    lines = units.filter(F.col("kind") == _LINE).groupBy("digest").agg(F.first("bands").alias("bands"), F.min("who").alias("who"), F.max("who").alias("last"))
-    lines = store.write(lines, "lines")
-    shared = store.write(lines.filter("who <> last").select("digest"), "shared")
-    index = lines.select("digest", F.explode("bands").alias("band"))
+def _one_each(units: DataFrame, bands: list) -> DataFrame:
+    """digest, bands and least and last holder of the paragraphs of the same words."""
+    one = units.groupBy("digest").agg(F.min("band").alias("band"), F.max("band").alias("other"), F.min("who").alias("who"), F.max("who").alias("last"), *bands)
+    return one.filter("band = other").drop("other")  # else unlike paragraphs of one hash
+
+
+def _clusters(documents: DataFrame, lines: DataFrame, runs: DataFrame, store: Durable, percent: int, min_line: int) -> DataFrame:
+    """digest and cluster of the paragraphs that are linked to one of other words or stand in two documents."""
+    one = _one_each(lines, [F.first("bands").alias("bands")]).unionByName(_one_each(runs, []).withColumn("bands", F.array("band")))
+    one = store.write(one, "paragraphs")
+    index = one.select("digest", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
-    index = store.write(index.join(met.hint("merge"), "band", "left_semi").select("digest", "band"), "collisions")
-    held = store.write(lines.join(small(index.select("digest").distinct()), "digest", "left_semi").select("digest", "who"), "held")
-    store.drop(lines)
-    texts = documents.select("who", "text").join(small(held.select("who").distinct()), "who", "left_semi")
-    sets = _line_sets(texts).join(small(held.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    index = store.write(index.join(small(store.write(met, "met")), "band", "left_semi").select("digest", "band"), "collisions")
+    held = store.write(one.join(small(store.write(index.select("digest").distinct(), "colliding")), "digest", "left_semi").select("digest", "who"), "held")
+    texts = documents.select("who", "text").join(small(store.write(held.select("who").distinct(), "holders")), "who", "left_semi")
+    sets = _sets(texts, min_line).join(small(held.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     sets = store.write(sets.select(F.col("digest").alias("id"), F.size("tokens").alias("n"), "tokens"), "sets")
     index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n").hint("merge"), "id"), "index")
-    links = store.write(verified(star(index, ["band"], percent), sets, percent), "links")
-    rest = store.write(split(labelled(index, components(links, store)), ["band"]), "rest")
+    links = store.write(verified(star(index, ["band"], percent, store), sets, percent), "links")
+    rest = store.write(split(labelled(index, components(links, store)), ["band"], store), "rest")
     store.drop(index)
     links = store.write(links.union(linked_across(rest, ["band"], sets, percent)), "links")
     store.drop(sets)
     store.drop(rest)
     linked = components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
-    return linked.union(shared.join(linked.hint("merge"), "digest", "left_anti").select("digest", F.col("digest").alias("cluster")))
+    alone = one.filter("who <> last").select("digest", F.col("digest").alias("cluster")).join(small(store.write(linked, "linked")), "digest", "left_anti")
+    out = store.write(linked.union(alone.select("digest", "digest").toDF("digest", "cluster")), "clusters")
+    store.drop(one)
+    return out
 
 
 def _surroundings(documents: DataFrame, places: DataFrame) -> DataFrame:
@@ -267,7 +303,7 @@ def _identified(documents: DataFrame) -> bool:
     return n["rows"] == n["ids"]
 
 
-def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LINE, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """One row for each repeated passage or paragraph of a document: doc_id, who (doc_id or a hash of the row), kind, start and n (words), kept_in (the first document) and removed."""
     store = Durable(documents.sparkSession, "substring-dedup")
     identified = _identified(documents)
@@ -278,72 +314,77 @@ def repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     def named(rows: DataFrame) -> DataFrame:
         return rows.withColumn("doc_id", F.col("who").cast(kind)) if identified else rows.join(known.hint("merge"), "who")
 
-    units = store.write(_units(documents), "units")
-    clusters = _near_lines(documents, units, store, percent)
-    near = store.write(named(units.filter(F.col("kind") == _LINE).select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
+    lines = store.write(_units(documents, _LINE, min_line), "lines")
+    # Of all runs only those go on that meet one of another document in their band.  Hot bands
+    # are aggregated before their shuffle; what is aggregated is written first, so that the
+    # joins are between plain shuffles, which AQE can split.
+    units = store.write(_units(documents, _RUN, min_line).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")), "runs")
+    met = store.write(units.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
+    again = store.write(units.join(met.hint("merge"), "band", "left_semi"), "repeated")
+    store.drop(units)
+    clusters = _clusters(documents, lines, again, store, percent, min_line)
+    near = store.write(named(lines.select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
+    store.drop(lines)
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
-    paragraphs = near.join(first.hint("merge"), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
-    # What a document shares with one first document must reach MIN_LINE words without a gap.
+    first = store.write(first, "first-lines")
+    paragraphs = near.join(small(first), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
+    # What a document shares with one first document must reach min_line words without a gap.
     beside = Window.partitionBy("who", "first").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(beside.rowsBetween(Window.unboundedPreceding, -1))
     paragraphs = paragraphs.withColumn("_b", F.coalesce(reached < F.col("start"), F.lit(True)).cast("int")).withColumn("run", F.sum("_b").over(beside))
     whole = Window.partitionBy("who", "first", "run")
     paragraphs = store.write(paragraphs.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("_b", "run"), "paragraphs")
-    long = paragraphs.filter(F.col("removed") & (F.col("words") >= MIN_LINE))
-    kept = paragraphs.filter(~F.col("removed")).join(long.select("cluster").distinct().hint("merge"), "cluster", "left_semi")
+    long = paragraphs.filter(F.col("removed") & (F.col("words") >= min_line))
+    found = small(store.write(long.select("cluster").distinct(), "found"))
+    kept = paragraphs.filter(~F.col("removed")).join(found, "cluster", "left_semi")
     paragraphs = long.unionByName(kept).select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), "removed")
 
-    # What is shuffled of all runs is as little as tells documents and places apart.  Hot
-    # runs are aggregated before their shuffle; what is aggregated is written first, so
-    # that the joins are between plain shuffles, which AQE can split.
-    runs = units.filter(F.col("kind") == _PIECE).select("digest", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place"))
-    again = runs.groupBy("digest").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("digest")
-    again = store.write(again, "digests")
-    again = store.write(runs.join(again.hint("merge"), "digest", "left_semi"), "repeated")
-    store.drop(units)
-    again = named(again.select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
-    first = store.write(again.groupBy("digest").agg(_first()), "firsts")
-    again = store.write(again.join(first.hint("merge"), "digest").select("doc_id", "who", "start", "n", "digest", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "runs")
-    in_text = Window.partitionBy("who").orderBy("start")
+    again = named(again.join(small(clusters), "digest").select(F.col("cluster").alias("digest"), F.col("digest").alias("words"), "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
+    again = store.write(again, "clustered")
+    first = again.groupBy("digest").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("digest", "first")
+    first = store.write(first, "firsts")
+    again = store.write(again.join(small(first), "digest").select("doc_id", "who", "start", "n", "digest", "words", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "again")
+    # Where a part holds runs whose very words its first document has, or gives away, it reaches from the first to the last of these.
+    same = again.groupBy("words").agg(F.min("removed").alias("low"), F.max("removed").alias("high")).filter("low <> high").select("words", F.lit(True).alias("same"))
+    again = store.write(again.join(small(store.write(same, "same")), "words", "left").withColumn("same", F.coalesce("same", F.lit(False))).drop("words"), "again")
+    # What goes and what stays are parted: runs at a passage's edges may belong to clusters of their own.
+    in_text = Window.partitionBy("who", "removed").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
-    broken = F.coalesce(reached <= F.col("start"), F.lit(True))
-    changed = broken | (F.lag("removed").over(in_text) != F.col("removed"))
-    rows = again.withColumn("_b", broken.cast("int")).withColumn("_c", changed.cast("int"))
-    rows = rows.withColumn("run", F.sum("_b").over(in_text)).withColumn("part", F.sum("_c").over(in_text))
+    rows = again.withColumn("_b", F.coalesce(reached <= F.col("start"), F.lit(True)).cast("int")).withColumn("part", F.sum("_b").over(in_text))
+    rows = rows.withColumn("any", F.max("same").over(Window.partitionBy("who", "removed", "part"))).filter("same or not any")
     stop = F.col("start") + F.col("n")
-    parts = rows.groupBy("who", "run", "part").agg(F.first("doc_id").alias("doc_id"), F.first("removed").alias("removed"), F.min("start").alias("start"), F.max(stop).alias("stop"), F.min("kept_in").alias("kept_in"), F.min(F.struct("start", "digest")).alias("left"), F.max(F.struct(stop.alias("stop"), "digest")).alias("right"))
+    parts = rows.groupBy("who", "removed", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(stop).alias("stop"), F.min("kept_in").alias("kept_in"), F.min(F.struct("start", "digest")).alias("left"), F.max(F.struct(stop.alias("stop"), "digest")).alias("right"))
     parts = _grown(documents, again, store.write(parts, "parts"), store)
-    whole = Window.partitionBy("who", "run")
-    passages = parts.withColumn("words", F.max("stop").over(whole) - F.min("start").over(whole)).filter(F.col("words") >= MIN_PASSAGE).withColumn("n", (F.col("stop") - F.col("start")).cast("int"))
+    passages = parts.withColumn("n", (F.col("stop") - F.col("start")).cast("int")).filter(F.col("n") >= min_passage)
     return passages.select("doc_id", "who", F.lit("passage").alias("kind"), "start", "n", "kept_in", "removed").unionByName(paragraphs)
 
 
-def without_repeats(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def without_repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LINE, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """The documents with their texts less what is removed; those that lose every word go.
 
     The white space after a removed word goes with it.
     """
-    from pyspark.sql.types import StructType
-
     identified = _identified(documents)
-    gone = repeats(documents, percent).filter("removed").groupBy("who").agg(F.collect_set(F.struct("start", "n")).alias("__gone")).alias("g")
-    rows = documents.withColumn("__who", _who(identified)).alias("r")
-    both = rows.join(gone, F.col("r.__who") == F.col("g.who"), "left").select("r.*", "g.__gone").drop("__who")
-    schema: StructType = documents.schema
+    spans = fresh("_gone", documents)
+    gone = repeats(documents, percent, min_line, min_passage).filter("removed").groupBy("who").agg(F.collect_set(F.struct("start", "n")).alias("spans")).alias("g")
+    rows = documents.alias("r")
+    who = F.col("r.doc_id").cast("long") if identified else F.xxhash64("r.doc_id", "r.text")
+    both = rows.join(gone, who == F.col("g.who"), "left").select("r.*", F.col("g.spans").alias(spans))
+    schema = documents.schema
     ship(documents.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, keep = part.column("text").to_pylist(), []
-            for i, spans in enumerate(part.column("__gone").to_pylist()):
-                if spans:
-                    texts[i] = cut(texts[i], [(s["start"], s["n"]) for s in spans])
-                keep.append(not spans or bool(texts[i].strip(" \t\n\v\f\r")))
+            for i, own in enumerate(part.column(spans).to_pylist()):
+                if own:
+                    texts[i] = cut(texts[i], [(s["start"], s["n"]) for s in own])
+                keep.append(not own or bool(texts[i].strip(" \t\n\v\f\r")))
             names = [f.name for f in schema.fields]
             columns = [pa.array(texts, part.column("text").type) if c == "text" else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(batches, schema)
+    return map_batches(both, batches, schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
