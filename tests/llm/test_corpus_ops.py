@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, line_dedup, ngram_join, packing, sharding, substring_dedup
+from tidemark.llm import ann, line_dedup, ngram_join, packing, quality, sharding, substring_dedup
 from tidemark.llm.components import components
 from tidemark.llm.runtime import Durable
 
@@ -404,6 +404,116 @@ def test_wrapped_paragraphs_cluster(spark):
     assert after == {i: len(t.split()) if i in (0, 20) or i >= 30 else 80 for i, t in pairs}
 
 
+def plain_lines_of(text):
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        words = [w.lower() for w in WORD.findall(line)]
+        if words:
+            out.append((at, words))
+        at += len(words)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paragraphs_against_brute_force(spark, seed):
+    """Long lines: all pairs by exact Jaccard, clusters by union, all but the first document's removed."""
+    rng = random.Random(seed)
+    bases, pairs = [prose(rng, n, 10**6) for n in (30, 60, 120, 40)], []
+    for i in range(40):
+        lines = [prose(rng, rng.randint(25, 60), 10**9) for _ in range(rng.randint(1, 3))]
+        for b in rng.sample(bases, rng.choice([0, 1, 1, 2])):
+            words = b.split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**9)}"
+            lines.insert(rng.randint(0, len(lines)), " ".join(words))
+        pairs.append((i, "\n".join(lines)))
+    units = [(i, at, words, {tuple(words[k : k + 5]) for k in range(len(words) - 4)}) for i, t in pairs for at, words in plain_lines_of(t)]
+    parent = list(range(len(units)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(units)):
+        for b in range(a):
+            both = len(units[a][3] & units[b][3])
+            if 100 * both >= 80 * (len(units[a][3]) + len(units[b][3]) - both):
+                parent[find(a)] = find(b)
+    first = defaultdict(list)
+    for k, u in enumerate(units):
+        first[find(k)].append(u[0])
+    want = {(u[0], u[1], len(u[2]), min(first[find(k)])) for k, u in enumerate(units) if u[0] != min(first[find(k)])}
+    got = {(r.doc_id, r.start, r.n, r.kept_in) for r in substring_dedup.repeats(documents(spark, pairs)).collect() if r.kind == "paragraph" and r.removed}
+    single = {g for g in got if any(g[:3] == (u[0], u[1], len(u[2])) for u in units)}
+    assert single == want and len(want) > 15
+
+
+@pytest.mark.parametrize(("seed", "edited"), [(3, 0.0), (4, 0.3)])
+def test_passages_against_brute_force(spark, seed, edited):
+    """Every run of 51 words that two texts share is left in one (a near copy's first document may hold another word there), and no word goes that no other text holds."""
+    rng = random.Random(seed)
+    passages, pairs = [prose(rng, rng.randint(51, 140), 10**6) for _ in range(10)], []
+    for i in range(50):
+        parts = [prose(rng, rng.randint(0, 60), 10**9) for _ in range(3)]
+        for p in rng.sample(passages, rng.choice([0, 1, 1, 2])):
+            words = p.split()
+            if rng.random() < edited:
+                words[rng.randrange(len(words))] = f"y{i}"
+            parts.insert(rng.randint(0, len(parts)), " ".join(words).upper().replace("W", "w") if rng.random() < 0.2 else " ".join(words))
+        pairs.append((i, rng.choice([" ", "  "]).join(parts)))
+    grams = lambda t, n: (lambda w: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})(WORD.findall(t.lower()))
+    before = Counter(g for _, t in pairs for g in grams(t, 51))
+    after = {r.doc_id: r.text for r in substring_dedup.without_repeats(documents(spark, pairs)).collect()}
+    left = Counter(g for t in after.values() for g in grams(t, 51))
+    shared = {g for g, n in before.items() if n > 1}
+    assert len(shared) > 200 and all(left[g] <= 1 for g in shared)
+    assert edited or all(left[g] == 1 for g in shared)
+    fives = defaultdict(set)
+    for i, t in pairs:
+        for g in grams(t, 5):
+            fives[g].add(i)
+    text = dict(pairs)
+    for r in substring_dedup.repeats(documents(spark, pairs)).collect():
+        if r.removed:
+            words = WORD.findall(text[r.doc_id].lower())[r.start : r.start + r.n]
+            own = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+            assert sum(len(fives[g]) > 1 for g in own) >= 0.8 * len(own)
+
+
+CLASHING = "doc_id long, text string, __key string, _cut string, __gone string, _gone string, __who string, who string, digest string, key string, dropped string, spans string, _gone_id long, component_id long, `a.b` string"
+
+
+def test_clashing_names(spark):
+    rng = random.Random(16)
+    passage, foot = prose(rng, 60), "See all of our other pages about this subject"
+    rows = [(i, f"{prose(rng, 50, 10**9)}\n{passage}\n{foot}", *(f"{c}{i}" for c in "abcdefghij"), i, i, f"l{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, CLASHING)
+    want = {r[0]: r[2:] for r in rows}
+    for op in (line_dedup.without_lines, ngram_join.first_of_each, substring_dedup.without_repeats):
+        out = op(df)
+        assert out.columns == df.columns
+        assert {r.doc_id: tuple(r)[2:] for r in out.collect()} == want, op
+    assert quality.keep_good(df).columns == df.columns and {tuple(r)[2:] for r in quality.keep_good(df).collect()} <= set(want.values())
+    assert sharding.shard(df, 2, Durable(spark, "test").root).count() == packing.pack(df).count() == line_dedup.line_dedup(df).count() == ngram_join.similar(df).count() == 8
+    assert substring_dedup.repeats(df).filter("removed").select("doc_id").distinct().count() == 7
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(17)
+    long = "\n".join(prose(rng, 12, 10**6) for _ in range(12_000))  # 144,000 words
+    near = long.replace("w1", "v1", 40)
+    pairs = [(1, long), (2, near), (3, prose(rng, 40) + "\n" + "\n".join(long.split("\n")[500:700]) + "\n" + prose(rng, 40)), (4, "w " * 300_000), (5, "x" * 3_000_000), (6, prose(rng, 60))]
+    df = documents(spark, pairs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(df).collect()}
+    assert got[2][1] == 1 and got[4] == (1, 4) and got[5] == (1, 5) and got[3][1] == 3 and got[1][0] > 140_000
+    sizes = {r.doc_id: r["size"] for r in sharding.shard(df, 2, Durable(spark, "test").root).collect()}
+    assert sizes == {i: len(t) + 1 for i, t in pairs}
+    assert {r.doc_id: r.n_lines for r in line_dedup.line_dedup(df).collect()}[1] == 12_000
+    after = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_repeats(df).collect()}
+    assert after[1] == 144_000 and after.get(2, 0) < 2000 and 80 <= after[3] <= 90 and after[6] == 60 and after[4] == 300_000
+
+
 def test_band_recall():
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS > 0.995
 

@@ -10,21 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Durable
+from tidemark.llm.runtime import BROADCAST_ROWS, Durable
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _near(least: DataFrame, edges: int, store: Durable) -> DataFrame:
+    """The least neighbours, broadcast where there are few edges; else stored, so that the join has plain shuffles on both sides and a node with many edges can be split."""
+    return F.broadcast(least) if 2 * edges <= BROADCAST_ROWS else store.write(least, "least").hint("merge")
+
+
+def _large_star(edges: DataFrame, n: int, store: Durable) -> DataFrame:
     """Links each node's larger neighbours to the least of it and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(_near(least, n, store), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, store: Durable) -> DataFrame:
     """Links each node and its smaller neighbours to the least of these."""
     down = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a > b
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least.hint("merge"), "a").select("m", "b").union(least.select("m", F.col("a").alias("b")))
+    moved = down.join(_near(least, n, store), "a").select("m", "b").union(least.select("m", F.col("a").alias("b")))
     return moved.select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
@@ -34,7 +39,11 @@ def components(edges: DataFrame, store: Durable) -> DataFrame:
     digest = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
     now = digest(edges)
     while True:
-        after = store.write(_small_star(_large_star(edges)), "edges")
+        n = now[0]
+        large = _large_star(edges, n, store)
+        if 2 * n > BROADCAST_ROWS:  # read twice in the next step
+            large = store.write(large, "large")
+        after = store.write(_small_star(large, n, store), "edges")
         then = digest(after)
         store.drop(edges)
         edges = after

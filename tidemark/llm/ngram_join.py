@@ -29,9 +29,11 @@ Pairs that the sets' parity bitmaps rule out (Sandes et al. 2017) never leave th
 join that finds them.  Each verification compares the whole sets.  The components come from all
 verified links; a link within a component that step 3 leaves out joins nothing.
 
-Null, empty and white-space texts have no tokens and are components of their own.
+Null, empty and white-space texts have no tokens and are components of their own; very
+long texts are taken whole, as all their distinct shingles.
 A null doc_id never names a component unless all its ids are null.  Repeated rows
-get equal rows; an empty table gives an empty one; other columns play no part.
+get equal rows; an empty table gives an empty one; columns other than doc_id and text
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.runtime import Durable, ship, small
+from tidemark.llm.runtime import Durable, fresh, ship, small
 from tidemark.llm.similarity import WORDS, across, bitmap, in_length, labelled, split, verified
 
 PERCENT, RARE = 80, 24
@@ -109,11 +111,16 @@ def _combinations(index: DataFrame) -> DataFrame:
     return grouped.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", "pair.t", "pair.u").distinct()
 
 
-def _alive(rows: DataFrame, node: list[str], part: float) -> DataFrame:
-    """The node columns and n of rows (node, n, tokens) of which enough of the tokens also occur in other rows."""
+def _alive(rows: DataFrame, node: list[str], part: float, store: Durable) -> DataFrame:
+    """The node columns and n of rows (node, n, tokens) of which enough of the tokens also occur in other rows.
+
+    A token's rows are counted map-side first; the stored list of shared tokens makes
+    both sides of the join plain shuffles, so a token of very many rows is split.
+    """
     number = F.xxhash64(*node).alias("h")
-    tokens = rows.select(number, F.explode("tokens").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("token")
+    tokens = rows.select(number, F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")  # a row has a token once
+    shared = store.write(shared, "shared")
     held = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("held"))
     return rows.select(*node, "n", number).join(held.hint("merge"), "h").filter(F.col("held") >= _k(F.col("n"), part)).select(*node, "n")
 
@@ -127,37 +134,37 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     scanned = store.write(_scan(documents, percent, 0.05, False), "prefixes")
     classes = scanned.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     classes = store.write(classes, "classes")
-    live = store.write(classes.select("class", "doc_id").join(_alive(classes, ["class"], 0.05).select("class").hint("merge"), "class"), "live")
+    live = store.write(classes.select("class", "doc_id").join(_alive(classes, ["class"], 0.05, store).select("class").hint("merge"), "class"), "live")
     store.drop(classes)
     wanted = small(live.select(F.col("doc_id").alias("wanted")).distinct())
     rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     full = _scan(rows, percent, 0.0, True).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
     full = store.write(full.select(F.monotonically_increasing_id().alias("id"), "class", "n", "tokens", "bits"), "sets")
     some = F.slice("tokens", 1, (_errors(percent) + _k(F.col("n"), 0.3)).cast("int"))
-    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3).select("id").hint("merge"), "id", "left_semi"), "live-sets")
+    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3, store).select("id").hint("merge"), "id", "left_semi"), "live-sets")
     store.drop(full)
     prefix = F.slice("tokens", 1, (_errors(percent) + _groups(_level() + 1) + 1).cast("int"))
     index = sets.select("id", "n", F.explode(prefix).alias("token"))
     first = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "least", "df")
-    index = store.write(index.join(first.hint("merge"), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
+    index = store.write(index.join(small(store.write(first, "tokens")), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
     star = index.filter("least <> id").filter(in_length("n", "least_n", percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = store.write(verified(star, sets, percent), "links")
     labels = components(links, store)
-    rest = store.write(split(labelled(index.select("id", "n", "token"), labels), ["token"]), "rest")
+    rest = store.write(split(labelled(index.select("id", "n", "token"), labels), ["token"], store), "rest")
     store.drop(index)
     single = rest.filter(F.col("df") <= RARE)
     links = store.write(links.union(verified(across(single, ["token"], percent, sets), sets, percent)), "links")
     labels = components(links, store)
-    rest = store.write(split(labelled(rest.filter(F.col("df") > RARE), labels), ["token"]), "rest")
+    rest = store.write(split(labelled(rest.filter(F.col("df") > RARE), labels), ["token"], store), "rest")
     combos = store.write(_combinations(rest), "combinations")
-    links = store.write(links.union(verified(across(split(combos, ["t", "u"]), ["t", "u"], percent, sets), sets, percent)), "links")
+    links = store.write(links.union(verified(across(split(combos, ["t", "u"], store), ["t", "u"], percent, sets), sets, percent)), "links")
     labels = components(links, store)
-    joined = sets.select("id", "class").join(labels, F.col("id") == F.col("node")).select("class", "component")
+    joined = sets.select("id", "class").join(small(labels), F.col("id") == F.col("node")).select("class", "component")
     member = scanned.select("doc_id", "class", "n").join(small(joined), "class", "left")
     group = F.when(F.col("component").isNotNull(), F.struct("component", F.lit(None).cast("binary").alias("class"))).otherwise(F.struct(F.lit(None).cast("long").alias("component"), "class"))
     member = member.select("doc_id", "n", F.when(F.col("n") > 0, group).alias("group"))
     least = member.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    out = member.join(least, "group", "left")
+    out = member.join(store.write(least, "groups"), "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -168,5 +175,6 @@ def first_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     without tokens, and those of a null doc_id that no other row reaches, stay.
     """
     found = similar(documents, percent).filter((F.col("component_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
-    gone = small(Durable(documents.sparkSession, "ngram-join").write(found.select(F.col("doc_id").alias("_gone_id")).distinct(), "gone"))
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    name = fresh("_gone_id", documents)
+    gone = small(Durable(documents.sparkSession, "ngram-join").write(found.select(F.col("doc_id").alias(name)).distinct(), "gone"))
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone[name]), "left_anti")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.runtime import ship
+from tidemark.llm.runtime import map_batches, ship
 
 #: Least bytes, lowest and highest ratio of each band.  The lowest ratios lie under all those of clean labelled rows of the length.
 BANDS = ((0, 0.30, 1.60), (256, 0.42, 0.90), (512, 0.48, 0.80), (1024, 0.465, 0.72), (2048, 0.44, 0.68), (4096, 0.42, 0.65), (8192, 0.405, 0.62), (16384, 0.385, 0.60), (65536, 0.37, 0.60), (262144, 0.34, 0.60), (1048576, 0.30, 0.60))
@@ -115,4 +115,4 @@ def keep_good(documents: DataFrame, chunk: int = CHUNK, bands=BANDS) -> DataFram
         for part in parts:
             yield part.filter(pa.array([judge(t.as_py(), compress, chunk, bands)[-1] for t in part.column("text")], pa.bool_()))
 
-    return documents.mapInArrow(batches, documents.schema)
+    return map_batches(documents, batches, documents.schema)

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.session import scratch, ship
 
-__all__ = ["BROADCAST_ROWS", "Durable", "ship", "shuffle_partitions", "small"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Durable", "fresh", "map_batches", "ship", "shuffle_partitions", "small"]
 
-#: Rows of at most two longs that may be broadcast (32 MB); larger tables are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes, that may be broadcast; larger tables are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
+
+
+#: Seconds beyond which a write is taken to have shuffled much.
+LONG_S = 2.0
 
 
 class Durable:
@@ -26,13 +32,15 @@ class Durable:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
+        began = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
-        # What the shuffles behind a written table left on disk goes once nothing refers to them.
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - began > LONG_S:
+            # What the shuffles behind a written table left on disk goes once nothing refers to them.
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -46,9 +54,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
-    """The same table, to be broadcast if it was counted and is small; else joined by shuffle.
+    """The same table, to be broadcast if it was measured and is small; else joined by shuffle.
 
-    Its rows are a few numbers each; elements of a column of ``lists`` count as rows.
+    Rows and bytes are counted in one pass, strings by their length; elements of a
+    column of ``lists`` count as rows.
     """
-    n = df.count() if lists is None else df.agg(F.coalesce(F.sum(F.size(lists) + 1), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(df) if n <= rows else df
+    n = F.lit(1) if lists is None else F.size(lists) + 1
+    bytes_of = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields if f.name != lists]
+    found = df.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.coalesce(F.sum(sum(bytes_of, 16 * n)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= BROADCAST_BYTES else df.hint("merge")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_batches(df: DataFrame, function, schema: StructType) -> DataFrame:
+    """As mapInArrow, for columns of any names (mapInArrow takes a dot for a field of a struct)."""
+    names, given = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    made = [f"c{i}" for i in range(len(schema.fields))]
+
+    def batches(parts):
+        import pyarrow as pa
+
+        for out in function(pa.RecordBatch.from_arrays(p.columns, names) for p in parts):
+            yield pa.RecordBatch.from_arrays(out.columns, made)
+
+    plain = StructType([StructField(c, f.dataType, True) for c, f in zip(made, schema.fields, strict=True)])
+    return df.toDF(*given).mapInArrow(batches, plain).toDF(*schema.names)

@@ -5,6 +5,10 @@ candidates of each other.  ``link`` first verifies an entry's members against it
 least member only.  Entries whose members then lie in one component need no more
 links; the members of the others are verified across components.
 
+What an entry's members are joined with is an aggregate.  It is stored first: then it
+is broadcast if it is small, and else both sides of the join are plain shuffles, so
+that an entry with very many members is split over tasks.
+
 Spark takes the size of a table before ``explode`` for its size after it, so joins
 of such tables are told to shuffle: a wrong guess would broadcast them.
 """
@@ -18,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import Durable, small
+
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union; sets has id and tokens (distinct)."""
@@ -31,10 +37,10 @@ def in_length(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def star(index: DataFrame, by: list[str], percent: int) -> DataFrame:
+def star(index: DataFrame, by: list[str], percent: int, store: Durable) -> DataFrame:
     """Each entry's least member with every other one that it can be linked to."""
     least = index.groupBy(*by).agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select(*by, F.col("least.id").alias("a"), F.col("least.n").alias("na"))
-    both = index.join(least.hint("merge"), by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
+    both = index.join(small(store.write(least, "least")), by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
     return both.select("a", F.col("id").alias("b")).distinct()
 
 
@@ -85,16 +91,16 @@ def across(index: DataFrame, by: list[str], percent: int, bitmaps: DataFrame) ->
     return x.join(y.hint("merge"), near).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
-def split(index: DataFrame, by: list[str]) -> DataFrame:
+def split(index: DataFrame, by: list[str], store: Durable) -> DataFrame:
     """Index rows of entries with members in two components or more, with the entry's number of members (df)."""
     held = index.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).filter("low <> high").select(*by, "df")
-    return index.join(held.hint("merge"), by)
+    return index.join(small(store.write(held, "split")), by)
 
 
 def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with each set's component, itself where it has no link."""
     index = index.drop("component", "df")
-    return index.join(labels.hint("merge"), index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    return index.join(small(labels), index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
 
 
 def linked_across(index: DataFrame, by: list[str], sets: DataFrame, percent: int) -> DataFrame:
