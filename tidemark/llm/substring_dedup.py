@@ -13,21 +13,21 @@ of two kinds, as a copied passage may fill whole lines or stand inside of one:
   apart and depend only on the words around them, so any passage of
   2 * WINDOW + RUN + 3 = 51 words holds a whole run, wherever it stands.
 
-Both kinds go the same way.  MinHash values of their shingles give bands: lines have
-``BANDS`` bands of ``ROWS`` values, which meet at a similarity of 0.8 with probability
-0.998; runs, which overlap, so that a passage has several of them, have one band of
-``RUN_ROWS``.  Paragraphs that meet in a band are candidates.  Those of the same words
-are one paragraph: a 64-bit hash of all words in order and an independent 64-bit
-MinHash band must both be equal (unlike paragraphs of one hash are left alone).  Of the
-others each pair that could join two components is verified by the exact Jaccard
-similarity of the shingle sets, which must reach ``percent``.
+MinHash values of the shingles give bands: lines have ``BANDS`` bands of ``ROWS``
+values, which meet at a similarity of 0.8 with probability 0.998; runs, which overlap,
+so that a passage has several of them, have one band of ``RUN_ROWS``.  Paragraphs that
+meet in a band are candidates, and each is verified.  Those of the same words are one
+paragraph: a 64-bit hash of all words in order and the independent 64-bit key of a
+MinHash band must both be equal (unlike paragraphs of one hash are left alone).  Of
+lines of other words each pair that could join two components is verified by the exact
+Jaccard similarity of the shingle sets, which must reach ``percent``.  Runs must be
+of the same words: an edited passage is found by its runs between the edits.
 
 Clusters are the components of verified links, and the paragraphs of the same words
 without one.  A cluster in two documents or more repeats; it is kept in its first
 document (least doc_id, null last, then least hash of the row) and removed from
 the others.  Overlapping repeating runs make a passage, which is grown word by word
-to both sides as far as the first document has the same words there; a passage that
-holds runs of the very same words starts and ends with these.  Passages of
+to both sides as far as the first document has the same words there; passages of
 fewer than ``min_passage`` words are left alone, so a short common line alone is no finding.
 
 A document is a row; rows equal in doc_id and text count as one.  Null, empty and
@@ -80,8 +80,6 @@ def anchors(total: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.
 
 
 _BASE = 0xD6E8FEB86659FD93
-#: Tells the digests of runs from those of lines.
-_OF_RUN = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 
 
@@ -169,7 +167,7 @@ def _units(documents: DataFrame, kind: int, min_line: int) -> DataFrame:
                     bands = _bands(total, start, stop, BANDS, ROWS)
                 else:
                     start, stop = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
-                    digest, bands = _hash_spans(word, start, stop) ^ _OF_RUN, _bands(total, start, stop, 1, RUN_ROWS)
+                    digest, bands = _hash_spans(word, start, stop), _bands(total, start, stop, 1, RUN_ROWS)
                 own = np.searchsorted(offsets, start, "right") - 1
                 columns = [rows.column("who").take(pa.array(own)), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.ascontiguousarray(bands[:, 0]).view(np.int64))]
                 if kind == _LINE:
@@ -179,52 +177,53 @@ def _units(documents: DataFrame, kind: int, min_line: int) -> DataFrame:
     return documents.select("who", "text").mapInArrow(batches, "who long, start int, n int, digest long, band long" + ", bands array<long>" * (kind == _LINE))
 
 
-def _sets(documents: DataFrame, min_line: int) -> DataFrame:
-    """digest and distinct shingles of each paragraph."""
+def _sets(documents: DataFrame, held: DataFrame, min_line: int) -> DataFrame:
+    """id (digest), n and distinct shingles of each held paragraph (digest, who), read from its holder."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
+    lists = held.groupBy("who").agg(F.collect_list("digest").alias("digests"))
+    rows = documents.select("who", "text").join(small(lists, lists="digests"), "who").select("text", "digests")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 250):
-                word, offsets, lines, blocks = text.words_and_blocks(part.slice(at, 250).column("text"))
-                if not len(word):
-                    continue
-                total = text.windows(word)
+            for at in range(0, part.num_rows, 1000):
+                rows = part.slice(at, 1000)
+                word, offsets, lines, blocks = text.words_and_blocks(rows.column("text"))
                 start, stop, digest = _paragraphs(word, offsets, lines, blocks, min_line)
-                run, end = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
-                digest = np.concatenate([digest, _hash_spans(word, run, end) ^ _OF_RUN])
-                digest, once = np.unique(digest, return_index=True)
-                found = text.sets(word, total, np.concatenate([start, run])[once], ends=np.concatenate([stop, end])[once])
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                wanted = rows.column("digests").flatten().to_numpy(zero_copy_only=False)
+                digest = digest.view(np.int64)
+                at_first = np.unique(digest, return_index=True)[1]
+                some = at_first[np.isin(digest[at_first], wanted)]
+                found = text.sets(word, text.windows(word), start[some], ends=stop[some])
+                sizes = np.array([len(s) for s in found], np.int64)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["digest", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[some]), pa.array(sizes.astype(np.int32)), tokens], ["id", "n", "tokens"])
 
-    return documents.select("text").mapInArrow(batches, "digest long, tokens array<long>")
+    found = rows.mapInArrow(batches, "id long, n int, tokens array<long>")
+    # a holder's batch may show a paragraph that another holder was asked for
+    return found.groupBy("id", "n").agg(F.first("tokens").alias("tokens"))
 
 
 def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "who")).alias("first")
 
 
-def _one_each(units: DataFrame, bands: list) -> DataFrame:
-    """digest, bands and least and last holder of the paragraphs of the same words."""
-    one = units.groupBy("digest").agg(F.min("band").alias("band"), F.max("band").alias("other"), F.min("who").alias("who"), F.max("who").alias("last"), *bands)
-    return one.filter("band = other").drop("other")  # else unlike paragraphs of one hash
+def _one_each(units: DataFrame, *more: Column) -> DataFrame:
+    """digest and least and last holder of the paragraphs of the same words."""
+    one = units.groupBy("digest").agg(F.min("band").alias("band"), F.max("band").alias("other"), F.min("who").alias("who"), F.max("who").alias("last"), *more)
+    return one.filter("band = other").drop("other", "band")  # else unlike paragraphs of one hash
 
 
-def _clusters(documents: DataFrame, lines: DataFrame, runs: DataFrame, store: Durable, percent: int, min_line: int) -> DataFrame:
-    """digest and cluster of the paragraphs that are linked to one of other words or stand in two documents."""
-    one = _one_each(lines, [F.first("bands").alias("bands")]).unionByName(_one_each(runs, []).withColumn("bands", F.array("band")))
-    one = store.write(one, "paragraphs")
+def _clusters(documents: DataFrame, lines: DataFrame, store: Durable, percent: int, min_line: int) -> DataFrame:
+    """digest and cluster of the lines that are linked to one of other words or stand in two documents."""
+    one = store.write(_one_each(lines, F.first("bands").alias("bands")), "distinct")
     index = one.select("digest", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
     index = store.write(index.join(small(store.write(met, "met")), "band", "left_semi").select("digest", "band"), "collisions")
-    held = store.write(one.join(small(store.write(index.select("digest").distinct(), "colliding")), "digest", "left_semi").select("digest", "who"), "held")
-    texts = documents.select("who", "text").join(small(store.write(held.select("who").distinct(), "holders")), "who", "left_semi")
-    sets = _sets(texts, min_line).join(small(held.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    sets = store.write(sets.select(F.col("digest").alias("id"), F.size("tokens").alias("n"), "tokens"), "sets")
+    held = one.join(small(store.write(index.select("digest").distinct(), "colliding")), "digest", "left_semi").select("digest", "who")
+    sets = store.write(_sets(documents, store.write(held, "held"), min_line), "sets")
     index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n").hint("merge"), "id"), "index")
     links = store.write(verified(star(index, ["band"], percent, store), sets, percent), "links")
     rest = store.write(split(labelled(index, components(links, store)), ["band"], store), "rest")
@@ -232,9 +231,9 @@ def _clusters(documents: DataFrame, lines: DataFrame, runs: DataFrame, store: Du
     links = store.write(links.union(linked_across(rest, ["band"], sets, percent)), "links")
     store.drop(sets)
     store.drop(rest)
-    linked = components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
-    alone = one.filter("who <> last").select("digest", F.col("digest").alias("cluster")).join(small(store.write(linked, "linked")), "digest", "left_anti")
-    out = store.write(linked.union(alone.select("digest", "digest").toDF("digest", "cluster")), "clusters")
+    linked = store.write(components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "linked")
+    alone = one.filter("who <> last").join(small(linked.select("digest")), "digest", "left_anti")
+    out = store.write(linked.union(alone.select("digest", F.col("digest").alias("cluster"))), "clusters")
     store.drop(one)
     return out
 
@@ -315,14 +314,7 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
         return rows.withColumn("doc_id", F.col("who").cast(kind)) if identified else rows.join(known.hint("merge"), "who")
 
     lines = store.write(_units(documents, _LINE, min_line), "lines")
-    # Of all runs only those go on that meet one of another document in their band.  Hot bands
-    # are aggregated before their shuffle; what is aggregated is written first, so that the
-    # joins are between plain shuffles, which AQE can split.
-    units = store.write(_units(documents, _RUN, min_line).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")), "runs")
-    met = store.write(units.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
-    again = store.write(units.join(met.hint("merge"), "band", "left_semi"), "repeated")
-    store.drop(units)
-    clusters = _clusters(documents, lines, again, store, percent, min_line)
+    clusters = _clusters(documents, lines, store, percent, min_line)
     near = store.write(named(lines.select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
     store.drop(lines)
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
@@ -339,19 +331,22 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     kept = paragraphs.filter(~F.col("removed")).join(found, "cluster", "left_semi")
     paragraphs = long.unionByName(kept).select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), "removed")
 
-    again = named(again.join(small(clusters), "digest").select(F.col("cluster").alias("digest"), F.col("digest").alias("words"), "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
-    again = store.write(again, "clustered")
-    first = again.groupBy("digest").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("digest", "first")
-    first = store.write(first, "firsts")
-    again = store.write(again.join(small(first), "digest").select("doc_id", "who", "start", "n", "digest", "words", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "again")
-    # Where a part holds runs whose very words its first document has, or gives away, it reaches from the first to the last of these.
-    same = again.groupBy("words").agg(F.min("removed").alias("low"), F.max("removed").alias("high")).filter("low <> high").select("words", F.lit(True).alias("same"))
-    again = store.write(again.join(small(store.write(same, "same")), "words", "left").withColumn("same", F.coalesce("same", F.lit(False))).drop("words"), "again")
+    # Of all runs only those go on that meet one of another document in their band.  Hot bands
+    # are aggregated before their shuffle; what is aggregated is written first, so that the
+    # joins are between plain shuffles, which AQE can split.
+    units = store.write(_units(documents, _RUN, min_line).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")), "runs")
+    met = store.write(units.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
+    again = store.write(units.join(met.hint("merge"), "band", "left_semi"), "repeated")
+    store.drop(units)
+    same = store.write(_one_each(again).filter("who <> last").select("digest"), "same")
+    again = named(again.join(small(same), "digest", "left_semi").select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
+    again = store.write(again, "equal")
+    first = store.write(again.groupBy("digest").agg(_first()), "firsts")
+    again = store.write(again.join(small(first), "digest").select("doc_id", "who", "start", "n", "digest", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "again")
     # What goes and what stays are parted: runs at a passage's edges may belong to clusters of their own.
     in_text = Window.partitionBy("who", "removed").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     rows = again.withColumn("_b", F.coalesce(reached <= F.col("start"), F.lit(True)).cast("int")).withColumn("part", F.sum("_b").over(in_text))
-    rows = rows.withColumn("any", F.max("same").over(Window.partitionBy("who", "removed", "part"))).filter("same or not any")
     stop = F.col("start") + F.col("n")
     parts = rows.groupBy("who", "removed", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(stop).alias("stop"), F.min("kept_in").alias("kept_in"), F.min(F.struct("start", "digest")).alias("left"), F.max(F.struct(stop.alias("stop"), "digest")).alias("right"))
     parts = _grown(documents, again, store.write(parts, "parts"), store)
