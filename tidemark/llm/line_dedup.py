@@ -46,8 +46,9 @@ def _lines(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "key", F.posexplode("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    lead = F.substring_index("line", " ", DEPTH)
     # begins at tokens only and never goes back, so that a very long token costs its length once
-    lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
+    lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"(^| )[^ 0-9]*+[0-9][^ ]*+", f"$1{WILD}")).otherwise(lead)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("hash", F.xxhash64("line"))
 
 

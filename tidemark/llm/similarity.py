@@ -101,15 +101,3 @@ def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with each set's component, itself where it has no link."""
     index = index.drop("component", "df")
     return index.join(small(labels), index["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-
-
-def linked_across(index: DataFrame, by: list[str], sets: DataFrame, percent: int) -> DataFrame:
-    """The links between members of one entry that lie in different components.
-
-    For small sets: they travel with the index rows and are compared inside the
-    join, so only links leave it, however many candidates an entry has.
-    """
-    x, y, near = _meetings(index, by, sets, [F.col("tokens")], percent)
-    both = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    near = near & (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both))
-    return x.join(y.hint("merge"), near).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()

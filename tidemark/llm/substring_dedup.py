@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.runtime import Durable, fresh, map_batches, ship, small
-from tidemark.llm.similarity import labelled, linked_across, split, star, verified
+from tidemark.llm.similarity import WORDS, across, bitmap, labelled, split, star, verified
 
 PERCENT = 80
 #: The chance that a pair of similarity s collides is 1 - (1 - s ** ROWS) ** BANDS for lines, s ** RUN_ROWS for each of a passage's runs.
@@ -178,7 +178,7 @@ def _units(documents: DataFrame, kind: int, min_line: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, held: DataFrame, min_line: int) -> DataFrame:
-    """id (digest), n and distinct shingles of each held paragraph (digest, who), read from its holder."""
+    """id (digest), n, distinct shingles and their bitmap of each held paragraph (digest, who), read from its holder."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
@@ -199,11 +199,13 @@ def _sets(documents: DataFrame, held: DataFrame, min_line: int) -> DataFrame:
                 sizes = np.array([len(s) for s in found], np.int64)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(digest[some]), pa.array(sizes.astype(np.int32)), tokens], ["id", "n", "tokens"])
+                maps = np.concatenate([bitmap(s) for s in found]) if found else np.zeros(0, np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WORDS), pa.array(maps))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[some]), pa.array(sizes.astype(np.int32)), tokens, bits], ["id", "n", "tokens", "bits"])
 
-    found = rows.mapInArrow(batches, "id long, n int, tokens array<long>")
+    found = rows.mapInArrow(batches, "id long, n int, tokens array<long>, bits array<long>")
     # a holder's batch may show a paragraph that another holder was asked for
-    return found.groupBy("id", "n").agg(F.first("tokens").alias("tokens"))
+    return found.groupBy("id", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
 
 
 def _first() -> Column:
@@ -228,7 +230,7 @@ def _clusters(documents: DataFrame, lines: DataFrame, store: Durable, percent: i
     links = store.write(verified(star(index, ["band"], percent, store), sets, percent), "links")
     rest = store.write(split(labelled(index, components(links, store)), ["band"], store), "rest")
     store.drop(index)
-    links = store.write(links.union(linked_across(rest, ["band"], sets, percent)), "links")
+    links = store.write(links.union(verified(across(rest, ["band"], percent, sets), sets, percent)), "links")
     store.drop(sets)
     store.drop(rest)
     linked = store.write(components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "linked")
