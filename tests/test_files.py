@@ -170,3 +170,19 @@ def test_index_is_sharded(tmp_path):
     drain(FileStreamCheckpoint(tmp_path / "cp"), tmp_path / "in")
     shards = list((tmp_path / "cp/file_index").glob("*.json"))
     assert len(shards) > 10 and sum(len(json.loads(s.read_text())) for s in shards) == 40
+
+
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_unlike_files_keep_their_columns_off_local_disks(spark, tmp_path, monkeypatch, scheme):
+    from tidemark.errors import SchemaEvolutionError
+    from tidemark.sources import readers
+
+    spark.range(2).toDF("id").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(2, 4).selectExpr("id", "'x' AS extra").coalesce(1).write.parquet(str(tmp_path / "b"))
+    if scheme:
+        monkeypatch.setattr(readers, "is_local", lambda path: False)  # as on a store that only Spark reads
+    files = [f"{scheme}{tmp_path}/{d}" for d in "ab"]
+    rows = readers.read_files(files, relaxed=True)
+    assert set(rows.columns) == {"id", "extra"} and sorted((r.id, r.extra) for r in rows.collect()) == [(0, None), (1, None), (2, "x"), (3, "x")]
+    with pytest.raises((SchemaEvolutionError, ValueError)):
+        readers.read_files(files).count()

@@ -167,7 +167,11 @@ def vacuum_delta_table(table_path: Any, *, retention_hours: float = 168.0, dry_r
 
 def optimize_delta_table(
     table_path: Any, *, mode: str = "compact", z_order_columns: list[str] | None = None, partition_filters: list[tuple] | None = None, target_size: int | None = None,
-    max_concurrent_tasks: int | None = None, max_spill_size: int | None = None, **_: Any,
+    max_concurrent_tasks: int | None = None, max_spill_size: int | None = None,
 ) -> dict[str, int]:
-    """Compact a table's files or cluster them by columns.  Tasks and spilling are Spark's to schedule."""
+    """Compact a table's files or cluster them by columns.
+
+    ``max_concurrent_tasks`` and ``max_spill_size`` are known and change nothing, as Spark schedules
+    tasks and spilling; any other keyword is an error.
+    """
     return DeltaTable(session(), table_path).optimize(mode, z_order_columns, partition_filters, target_size)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.union import diagonal
@@ -53,18 +53,15 @@ def prepared(changes: DataFrame, change_type_col: str, mode: str, ignore_delete:
     return changes.filter(kind == INSERT) if mode == "append_only" else changes
 
 
-def _arrival(changes: DataFrame) -> list[Column]:
-    if FILE in changes.columns and ROW in changes.columns:
-        return [F.desc(FILE), F.desc(ROW)]
-    return [F.desc("__arrival")]
-
-
 def latest(changes: DataFrame, keys: list[str], version_col: str = COMMIT_VERSION, timestamp_col: str = COMMIT_TIMESTAMP) -> DataFrame:
-    """The last change of each key; null keys count as equal."""
-    order = [F.desc_nulls_last(f"`{version_col}`")] if version_col in changes.columns else [F.desc_nulls_last(f"`{timestamp_col}`")] if timestamp_col in changes.columns else []
-    numbered = changes if FILE in changes.columns and ROW in changes.columns else changes.withColumn("__arrival", F.monotonically_increasing_id())
-    window = Window.partitionBy(*(F.col(f"`{k}`") for k in keys)).orderBy(*order, *_arrival(numbered))
-    return numbered.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop("__rank", "__arrival")
+    """The last change of each key; null keys count as equal.  Aggregates map-side, so a hot key is one row a task in the shuffle."""
+    given = changes.columns
+    ordered = FILE in given and ROW in given
+    numbered = changes if ordered else changes.withColumn("__arrival", F.monotonically_increasing_id())
+    by = [c for c in (version_col, timestamp_col) if c in given][:1]  # a null is less than any other
+    row = F.struct(*(F.col(f"`{c}`") for c in given))
+    last = F.max_by(row, F.struct(*(F.col(f"`{c}`") for c in [*by, *((FILE, ROW) if ordered else ("__arrival",))])))
+    return numbered.groupBy(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys))).agg(last.alias("__row")).select("__row.*")
 
 
 def without_change_columns(df: DataFrame, change_type_col: str, version_col: str, timestamp_col: str) -> DataFrame:

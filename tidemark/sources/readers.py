@@ -96,7 +96,7 @@ FOOTERS = 64
 
 
 def footer_schema(path: str) -> str:
-    """The columns and types in a Parquet file's footer, or in that of a folder's first file."""
+    """The columns and types in a local Parquet file's footer, or in that of a folder's first file."""
     import os
 
     import pyarrow.parquet as pq
@@ -109,12 +109,22 @@ def footer_schema(path: str) -> str:
     return str(pq.read_schema(path).remove_metadata())
 
 
+def _remote_schemas(spark: SparkSession, files: list[str]) -> list[str]:
+    """The same of files that only Spark can open: its own inference, asked file by file, reads a footer and no rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(lambda f: spark.read.parquet(escape_glob(f)).schema.json(), files))
+
+
 def _by_schema(spark: SparkSession, files: list[str]) -> list[list[str]]:
     """The files grouped by the columns and types in their footers."""
-    if len(files) == 1 or not all(is_local(f) for f in files):
+    if len(files) == 1:
         return [files]
-    if len(files) <= FOOTERS:
-        found = map(footer_schema, files)
+    if not all(is_local(f) for f in files):
+        found = _remote_schemas(spark, files)
+    elif len(files) <= FOOTERS:
+        found = list(map(footer_schema, files))
     else:
         ship(spark)
 
