@@ -14,11 +14,11 @@ from tidemark.session import scratch, ship
 __all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Durable", "fresh", "map_batches", "ship", "shuffle_partitions", "small"]
 
 #: Rows, and bytes, that may be broadcast; larger tables are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8_000_000
 
 
-#: Seconds beyond which a write is taken to have shuffled much.
-LONG_S = 2.0
+#: Seconds beyond which a write is taken to have shuffled much; writes after which broadcast tables are let go.
+LONG_S, MANY = 1.0, 4
 
 
 class Durable:
@@ -36,8 +36,8 @@ class Durable:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
-        if time.monotonic() - began > LONG_S:
-            # What the shuffles behind a written table left on disk goes once nothing refers to them.
+        if time.monotonic() - began > LONG_S or self.count % MANY == 0:
+            # What the shuffles behind a written table left on disk, and what was broadcast, goes once nothing refers to it.
             del df
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()

@@ -147,34 +147,34 @@ def _bands(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int,
     return out
 
 
-def _units(documents: DataFrame, kind: int, min_line: int) -> DataFrame:
-    """The paragraphs of a kind: who, first word, number of words, digest and band (a run's, or a line's first one) and the bands of lines."""
+def _units(documents: DataFrame, min_line: int) -> DataFrame:
+    """The paragraphs: who, kind, first word, number of words, digest, band (a run's, or a line's first one) and the bands of lines."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
-    names = ["who", "start", "n", "digest", "band", *["bands"] * (kind == _LINE)]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 1000):
-                rows = part.slice(at, 1000)
+            for at in range(0, part.num_rows, 500):
+                rows = part.slice(at, 500)
                 word, offsets, lines, blocks = text.words_and_blocks(rows.column("text"))
                 if not len(word):
                     continue
                 total = text.windows(word)
-                if kind == _LINE:
-                    start, stop, digest = _paragraphs(word, offsets, lines, blocks, min_line)
-                    bands = _bands(total, start, stop, BANDS, ROWS)
-                else:
-                    start, stop = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
-                    digest, bands = _hash_spans(word, start, stop), _bands(total, start, stop, 1, RUN_ROWS)
+                start, stop, digest = _paragraphs(word, offsets, lines, blocks, min_line)
+                keys = _bands(total, start, stop, BANDS, ROWS)
+                run, end = _runs(np.unique(np.concatenate([anchors(total, offsets), offsets[:-1]])), offsets, len(word))
+                band = np.concatenate([keys[:, 0], _bands(total, run, end, 1, RUN_ROWS)[:, 0]])
+                digest = np.concatenate([digest, _hash_spans(word, run, end)])
+                kind = np.repeat(np.array([_LINE, _RUN], np.int8), [len(start), len(run)])
+                places = np.concatenate([np.arange(len(start) + 1, dtype=np.int32) * BANDS, np.full(len(run), len(start) * BANDS, np.int32)])
+                start, stop = np.concatenate([start, run]), np.concatenate([stop, end])
                 own = np.searchsorted(offsets, start, "right") - 1
-                columns = [rows.column("who").take(pa.array(own)), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.ascontiguousarray(bands[:, 0]).view(np.int64))]
-                if kind == _LINE:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1))))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [rows.column("who").take(pa.array(own)), pa.array(kind), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(band.view(np.int64))]
+                columns.append(pa.ListArray.from_arrays(pa.array(places), pa.array(keys.view(np.int64).reshape(-1))))
+                yield pa.RecordBatch.from_arrays(columns, ["who", "kind", "start", "n", "digest", "band", "bands"])
 
-    return documents.select("who", "text").mapInArrow(batches, "who long, start int, n int, digest long, band long" + ", bands array<long>" * (kind == _LINE))
+    return documents.select("who", "text").mapInArrow(batches, "who long, kind byte, start int, n int, digest long, band long, bands array<long>")
 
 
 def _sets(documents: DataFrame, held: DataFrame, min_line: int) -> DataFrame:
@@ -276,10 +276,12 @@ def _grown(documents: DataFrame, again: DataFrame, parts: DataFrame, store: Dura
     and in each other one; the first document's own part grows as far as any copy's.
     Contexts that are equal are compared once.
     """
-    edges = parts.select(F.explode(F.array(F.struct(F.col("left.digest").alias("digest"), F.lit(False).alias("after")), F.struct(F.col("right.digest").alias("digest"), F.lit(True).alias("after")))).alias("e"))
-    edges = store.write(edges.select("e.digest", "e.after").distinct(), "edges")
+    edges = F.explode(F.array(F.struct(F.col("left.digest").alias("digest"), F.lit(False).alias("after"), F.col("start").alias("at")), F.struct(F.col("right.digest").alias("digest"), F.lit(True).alias("after"), F.col("stop").alias("at"))))
+    copies = store.write(parts.filter("removed").select("who", edges.alias("e")).select("e.digest", "e.after", "who", F.lit(True).alias("removed"), "e.at"), "edges")
     at = F.when(F.col("after"), F.col("start") + F.col("n")).otherwise(F.col("start")).alias("at")
-    places = store.write(again.join(edges.hint("merge"), "digest").select("digest", "after", "who", "removed", at), "places")
+    wanted = store.write(copies.select("digest", "after").distinct(), "wanted")
+    kept = again.filter("not removed").join(small(wanted), "digest").select("digest", "after", "who", "removed", at)
+    places = store.write(copies.unionByName(kept), "places")
     beside = _surroundings(documents, places.select("who", "at", "after")).dropDuplicates(["who", "at", "after"])
     beside = store.write(places.join(beside.hint("merge"), ["who", "at", "after"]).withColumn("context", F.xxhash64("words")), "beside")
     contexts = beside.groupBy("digest", "after", "removed", "context").agg(F.first("words").alias("words"))
@@ -315,10 +317,10 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     def named(rows: DataFrame) -> DataFrame:
         return rows.withColumn("doc_id", F.col("who").cast(kind)) if identified else rows.join(known.hint("merge"), "who")
 
-    lines = store.write(_units(documents, _LINE, min_line), "lines")
+    units = store.write(_units(documents, min_line), "units")
+    lines = units.filter(F.col("kind") == _LINE)
     clusters = _clusters(documents, lines, store, percent, min_line)
     near = store.write(named(lines.select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
-    store.drop(lines)
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
     first = store.write(first, "first-lines")
     paragraphs = near.join(small(first), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
@@ -336,9 +338,9 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     # Of all runs only those go on that meet one of another document in their band.  Hot bands
     # are aggregated before their shuffle; what is aggregated is written first, so that the
     # joins are between plain shuffles, which AQE can split.
-    units = store.write(_units(documents, _RUN, min_line).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place")), "runs")
-    met = store.write(units.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
-    again = store.write(units.join(met.hint("merge"), "band", "left_semi"), "repeated")
+    runs = units.filter(F.col("kind") == _RUN).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place"))
+    met = store.write(runs.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
+    again = store.write(runs.join(met.hint("merge"), "band", "left_semi"), "repeated")
     store.drop(units)
     same = store.write(_one_each(again).filter("who <> last").select("digest"), "same")
     again = named(again.join(small(same), "digest", "left_semi").select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
