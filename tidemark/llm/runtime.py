@@ -14,7 +14,7 @@ from tidemark.session import scratch, ship
 __all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Durable", "fresh", "map_batches", "ship", "shuffle_partitions", "small"]
 
 #: Rows, and bytes, that may be broadcast; larger tables are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 1_000_000
 
 
 #: Seconds beyond which a write is taken to have shuffled much; writes after which broadcast tables are let go.

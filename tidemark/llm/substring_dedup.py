@@ -318,9 +318,17 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
         return rows.withColumn("doc_id", F.col("who").cast(kind)) if identified else rows.join(known.hint("merge"), "who")
 
     units = store.write(_units(documents, min_line), "units")
-    lines = units.filter(F.col("kind") == _LINE)
+    # Of all runs only those go on that meet one of another document in their band.  Hot bands
+    # are aggregated before their shuffle; what is aggregated is written first, so that the
+    # joins are between plain shuffles, which AQE can split.
+    runs = units.filter(F.col("kind") == _RUN).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place"))
+    met = store.write(runs.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
+    again = store.write(runs.join(met.hint("merge"), "band", "left_semi"), "repeated")
+    lines = store.write(units.filter(F.col("kind") == _LINE).drop("kind"), "lines")
+    store.drop(units)
     clusters = _clusters(documents, lines, store, percent, min_line)
     near = store.write(named(lines.select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
+    store.drop(lines)
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
     first = store.write(first, "first-lines")
     paragraphs = near.join(small(first), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
@@ -335,13 +343,6 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     kept = paragraphs.filter(~F.col("removed")).join(found, "cluster", "left_semi")
     paragraphs = long.unionByName(kept).select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), "removed")
 
-    # Of all runs only those go on that meet one of another document in their band.  Hot bands
-    # are aggregated before their shuffle; what is aggregated is written first, so that the
-    # joins are between plain shuffles, which AQE can split.
-    runs = units.filter(F.col("kind") == _RUN).select("digest", "band", "who", (F.col("start").cast("long") * 64 + F.col("n")).alias("place"))
-    met = store.write(runs.groupBy("band").agg(F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("band"), "bands")
-    again = store.write(runs.join(met.hint("merge"), "band", "left_semi"), "repeated")
-    store.drop(units)
     same = store.write(_one_each(again).filter("who <> last").select("digest"), "same")
     again = named(again.join(small(same), "digest", "left_semi").select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
     again = store.write(again, "equal")
