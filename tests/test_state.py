@@ -102,6 +102,28 @@ def test_seen_keys_expire(spark, tmp_path):
         assert len(fresh) == (0 if i == 3 else 1)
 
 
+def test_seen_keys_are_added_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.streaming.state.MANY_PARTS", 2)
+    seen, folder = SeenKeys("s", ["id"], ["t"]), tmp_path / "s.parts"
+    batch = lambda i: spark.createDataFrame([(None, 0)] + [(k, 0) for k in range(i, 2 * i + 2)], f"id {'int' if i < 3 else 'bigint'}, t int")
+    known = set()
+    for i in range(8):
+        want = sorted({*range(i, 2 * i + 2), *([None] if i == 0 else [])} - known, key=str)
+        for _ in range(2):  # a batch that runs again finds the same
+            fresh = seen.fresh(batch(i), JobState(tmp_path).at(i))
+            assert sorted((r.id for r in fresh.collect()), key=str) == want
+        known |= set(want)
+    state = JobState(tmp_path)
+    assert sorted((r.id for r in state.load_parts("s").collect()), key=str) == sorted(known, key=str)  # each key once
+    assert len(state._parts("s")) <= 4 and len(list(folder.glob("base*"))) == 2
+    assert state.exists("s", kind="parts") and state.delete("s") and state.load_parts("s") is None
+
+
+def test_catalog_entries():
+    catalog = LocalCatalog({"a": {"format": "", "type": "csv", "path": None, "location": "/d", "options": {"x": 1, "y": 1}, "x": 2}, "bad": 3})
+    assert catalog.resolve("a") == DatasetSpec("a", "csv", "/d", {"x": 2, "y": 1})  # a faulty entry does not keep others from use
+
+
 def test_catalog(tmp_path):
     data = {"datasets": {"e": {"type": "parquet", "location": "/d", "options": {"recursive": True, "max_files_per_trigger": 2}, "max_files_per_trigger": 3}, "t": {"format": "delta", "path": "/t", "schema_mode": "coerce"}, "a": {"format": "auto", "path": "/a"}, "x": {"format": "xlsx", "path": "/x"}}}
     (tmp_path / "c.json").write_text(json.dumps(data))

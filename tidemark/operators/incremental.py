@@ -128,20 +128,27 @@ class SeenKeys:
     expire: tuple[str, str] | None = None  # (event time column, interval): keys older than the newest by more are forgotten
 
     def fresh(self, batch: DataFrame, state: Any) -> DataFrame:
+        """The rows, computed once and read back; their keys are added to the seen ones, which are not rewritten."""
         rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*_descending(self.order)))
         rows = batch.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-        seen = state.load_parquet(self.name)
+        seen = state.load_parts(self.name)
         if seen is not None:
+            seen = self._remembered(seen)
             match = [rows[k].eqNullSafe(seen[k]) for k in self.keys]
             rows = rows.join(seen, match, "left_anti")
-        columns = [*self.keys, *([self.expire[0]] if self.expire else [])]
-        after = rows.select(*columns) if seen is None else seen.unionByName(rows.select(*columns))
-        if self.expire:
-            newest = after.agg(F.max(self.expire[0]).alias("newest"))
-            after = after.join(F.broadcast(newest)).filter(F.col(self.expire[0]) >= F.col("newest") - F.expr(f"INTERVAL {self.expire[1]}")).drop("newest")
-        state.save_parquet(self.name, after)
+        state.save_parquet(f"{self.name}-fresh", rows)
+        rows = state.load_parquet(f"{self.name}-fresh", current=True)
+        state.add_part(self.name, rows.select(*self.keys, *([self.expire[0]] if self.expire else [])), self._remembered)
         return rows
 
+    def _remembered(self, seen: DataFrame) -> DataFrame:
+        """The seen keys that are not older than the newest by more than the interval."""
+        if not self.expire:
+            return seen
+        time, interval = self.expire
+        newest = seen.agg(F.max(time).alias("__newest"))  # one row
+        return seen.join(F.broadcast(newest)).filter(F.col(time) >= F.col("__newest") - F.expr(f"INTERVAL {interval}")).drop("__newest")
+
 
 @dataclass(frozen=True)
 class LatestByKey:
