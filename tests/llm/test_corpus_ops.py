@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ann, line_dedup, ngram_join, packing, quality, sharding, substring_dedup
 from tidemark.llm.components import components
-from tidemark.llm.runtime import Durable
+from tidemark.llm.runtime import Durable, seen, sizes, small
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, n_shingles long, key long, dropped string"
@@ -324,6 +324,26 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def executions(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_tables_are_measured_while_they_are_written(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").persist()
+    edges.count()
+    store, before = Durable(spark, "test"), executions(spark)
+    labels = small(components(edges, store))
+    assert executions(spark) - before == store.count  # what decides on the next round or a broadcast takes no job of its own
+    assert {r.component for r in labels.collect()} == {0}
+    for rows, hint in ((10, "strategy=broadcast"), (9, "strategy=merge")):
+        rows_of = spark.range(10).selectExpr("id", "cast(id as string) as name")
+        assert seen(store.write(rows_of, "test", **sizes(rows_of))) == {"n": 10, "bytes": 10 * (16 + 8 + 1)}
+        table = store.small(rows_of, "test", rows=rows)
+        assert hint in table._jdf.queryExecution().logical().toString()
+    edges.unpersist()
+
+
 # ---- passages
 
 

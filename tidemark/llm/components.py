@@ -2,7 +2,7 @@
 
 Kiveris et al. 2014, "Connected components in MapReduce and beyond".  Edges and
 labels stay distributed.  Each round is written to the shared folder; what the
-driver reads of a round is one row: whether any edge changed.
+driver learns of a round is one row, taken while it is written: whether any edge changed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import BROADCAST_ROWS, Durable
+from tidemark.llm.runtime import BROADCAST_ROWS, Durable, seen, sizes
 
 
 def _near(least: DataFrame, edges: int, store: Durable) -> DataFrame:
@@ -35,18 +35,17 @@ def _small_star(edges: DataFrame, n: int, store: Durable) -> DataFrame:
 
 def components(edges: DataFrame, store: Durable) -> DataFrame:
     """node and component, the least node that it reaches, of each node with an edge; edges are two longs a and b."""
-    edges = store.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    digest = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
-    now = digest(edges)
+    digest = {"n": F.count(F.lit(1)), "bits": F.bit_xor(F.xxhash64("a", "b")), "total": F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))}
+    edges = store.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", **digest)
     while True:
-        n = now[0]
+        n = seen(edges)["n"]
         large = _large_star(edges, n, store)
         if 2 * n > BROADCAST_ROWS:  # read twice in the next step
             large = store.write(large, "large")
-        after = store.write(_small_star(large, n, store), "edges")
-        then = digest(after)
+        after = store.write(_small_star(large, n, store), "edges", **digest)
+        same = seen(after) == seen(edges)
         store.drop(edges)
         edges = after
-        if then == now:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        now = then
+        if same:
+            labels = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+            return store.write(labels, "labels", **sizes(labels))

@@ -40,7 +40,7 @@ def in_length(n: str, m: str, percent: int) -> Column:
 def star(index: DataFrame, by: list[str], percent: int, store: Durable) -> DataFrame:
     """Each entry's least member with every other one that it can be linked to."""
     least = index.groupBy(*by).agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select(*by, F.col("least.id").alias("a"), F.col("least.n").alias("na"))
-    both = index.join(small(store.write(least, "least")), by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
+    both = index.join(store.small(least, "least"), by).filter(F.col("a") < F.col("id")).filter(in_length("n", "na", percent))
     return both.select("a", F.col("id").alias("b")).distinct()
 
 
@@ -94,7 +94,7 @@ def across(index: DataFrame, by: list[str], percent: int, bitmaps: DataFrame) ->
 def split(index: DataFrame, by: list[str], store: Durable) -> DataFrame:
     """Index rows of entries with members in two components or more, with the entry's number of members (df)."""
     held = index.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).filter("low <> high").select(*by, "df")
-    return index.join(small(store.write(held, "split")), by)
+    return index.join(store.small(held, "split"), by)
 
 
 def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:

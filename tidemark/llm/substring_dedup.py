@@ -223,8 +223,8 @@ def _clusters(documents: DataFrame, lines: DataFrame, store: Durable, percent: i
     one = store.write(_one_each(lines, F.first("bands").alias("bands")), "distinct")
     index = one.select("digest", F.explode("bands").alias("band"))
     met = index.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("band")
-    index = store.write(index.join(small(store.write(met, "met")), "band", "left_semi").select("digest", "band"), "collisions")
-    held = one.join(small(store.write(index.select("digest").distinct(), "colliding")), "digest", "left_semi").select("digest", "who")
+    index = store.write(index.join(store.small(met, "met"), "band", "left_semi").select("digest", "band"), "collisions")
+    held = one.join(store.small(index.select("digest").distinct(), "colliding"), "digest", "left_semi").select("digest", "who")
     sets = store.write(_sets(documents, store.write(held, "held"), min_line), "sets")
     index = store.write(index.select(F.col("digest").alias("id"), "band").join(sets.select("id", "n").hint("merge"), "id"), "index")
     links = store.write(verified(star(index, ["band"], percent, store), sets, percent), "links")
@@ -233,9 +233,9 @@ def _clusters(documents: DataFrame, lines: DataFrame, store: Durable, percent: i
     links = store.write(links.union(verified(across(rest, ["band"], percent, sets), sets, percent)), "links")
     store.drop(sets)
     store.drop(rest)
-    linked = store.write(components(links, store).select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "linked")
-    alone = one.filter("who <> last").join(small(linked.select("digest")), "digest", "left_anti")
-    out = store.write(linked.union(alone.select("digest", F.col("digest").alias("cluster"))), "clusters")
+    linked = small(components(links, store)).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    alone = one.filter("who <> last").join(linked.select("digest"), "digest", "left_anti")
+    out = store.small(linked.union(alone.select("digest", F.col("digest").alias("cluster"))), "clusters")
     store.drop(one)
     return out
 
@@ -279,8 +279,8 @@ def _grown(documents: DataFrame, again: DataFrame, parts: DataFrame, store: Dura
     edges = F.explode(F.array(F.struct(F.col("left.digest").alias("digest"), F.lit(False).alias("after"), F.col("start").alias("at")), F.struct(F.col("right.digest").alias("digest"), F.lit(True).alias("after"), F.col("stop").alias("at"))))
     copies = store.write(parts.filter("removed").select("who", edges.alias("e")).select("e.digest", "e.after", "who", F.lit(True).alias("removed"), "e.at"), "edges")
     at = F.when(F.col("after"), F.col("start") + F.col("n")).otherwise(F.col("start")).alias("at")
-    wanted = store.write(copies.select("digest", "after").distinct(), "wanted")
-    kept = again.filter("not removed").join(small(wanted), "digest").select("digest", "after", "who", "removed", at)
+    wanted = store.small(copies.select("digest", "after").distinct(), "wanted")
+    kept = again.filter("not removed").join(wanted, "digest").select("digest", "after", "who", "removed", at)
     places = store.write(copies.unionByName(kept), "places")
     beside = _surroundings(documents, places.select("who", "at", "after")).dropDuplicates(["who", "at", "after"])
     beside = store.write(places.join(beside.hint("merge"), ["who", "at", "after"]).withColumn("context", F.xxhash64("words")), "beside")
@@ -327,11 +327,11 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     lines = store.write(units.filter(F.col("kind") == _LINE).drop("kind"), "lines")
     store.drop(units)
     clusters = _clusters(documents, lines, store, percent, min_line)
-    near = store.write(named(lines.select("who", "start", "n", "digest").join(small(clusters), "digest")), "near-lines")
+    near = store.write(named(lines.select("who", "start", "n", "digest").join(clusters, "digest")), "near-lines")
     store.drop(lines)
     first = near.groupBy("cluster").agg(_first(), F.min("who").alias("low"), F.max("who").alias("high")).filter("low <> high").select("cluster", "first")
-    first = store.write(first, "first-lines")
-    paragraphs = near.join(small(first), "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
+    first = store.small(first, "first-lines")
+    paragraphs = near.join(first, "cluster").withColumn("removed", F.col("who") != F.col("first.who"))
     # What a document shares with one first document must reach min_line words without a gap.
     beside = Window.partitionBy("who", "first").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(beside.rowsBetween(Window.unboundedPreceding, -1))
@@ -339,15 +339,15 @@ def repeats(documents: DataFrame, percent: int = PERCENT, min_line: int = MIN_LI
     whole = Window.partitionBy("who", "first", "run")
     paragraphs = store.write(paragraphs.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("_b", "run"), "paragraphs")
     long = paragraphs.filter(F.col("removed") & (F.col("words") >= min_line))
-    found = small(store.write(long.select("cluster").distinct(), "found"))
+    found = store.small(long.select("cluster").distinct(), "found")
     kept = paragraphs.filter(~F.col("removed")).join(found, "cluster", "left_semi")
     paragraphs = long.unionByName(kept).select("doc_id", "who", F.lit("paragraph").alias("kind"), "start", "n", F.col("first.doc_id").alias("kept_in"), "removed")
 
-    same = store.write(_one_each(again).filter("who <> last").select("digest"), "same")
-    again = named(again.join(small(same), "digest", "left_semi").select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
+    same = store.small(_one_each(again).filter("who <> last").select("digest"), "same")
+    again = named(again.join(same, "digest", "left_semi").select("digest", "who", F.shiftright("place", 6).cast("int").alias("start"), (F.col("place") % 64).cast("int").alias("n")))
     again = store.write(again, "equal")
-    first = store.write(again.groupBy("digest").agg(_first()), "firsts")
-    again = store.write(again.join(small(first), "digest").select("doc_id", "who", "start", "n", "digest", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "again")
+    first = store.small(again.groupBy("digest").agg(_first()), "firsts")
+    again = store.write(again.join(first, "digest").select("doc_id", "who", "start", "n", "digest", F.col("first.doc_id").alias("kept_in"), (F.col("who") != F.col("first.who")).alias("removed")).distinct(), "again")
     # What goes and what stays are parted: runs at a passage's edges may belong to clusters of their own.
     in_text = Window.partitionBy("who", "removed").orderBy("start")
     reached = F.max(F.col("start") + F.col("n")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
