@@ -300,6 +300,27 @@ def test_similar_with_frequent_tokens(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(pairs)
 
 
+def test_similar_reads_texts_where_they_lie(spark, monkeypatch):
+    """However many classes are live, texts go through no join or shuffle."""
+    plans, write = {}, Durable.write
+    monkeypatch.setattr(Durable, "write", lambda self, df, name, **more: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(self, df, name, **more))[1])
+    monkeypatch.setattr(small, "__defaults__", (0, None))
+    monkeypatch.setattr(Durable.small, "__defaults__", (0, None))
+    pairs = near_corpus(3, groups=4, largest=12)
+    got = ngram_join.similar(documents(spark, pairs))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(pairs)
+    for name in ("prefixes", "sets"):
+        assert "Join" not in plans[name].split("MapInArrow")[1]
+
+
+def test_marks_of_live_documents(spark):
+    live = Durable(spark, "test").write(spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id"), "live", n=F.count(F.lit(1)))
+    marked = ngram_join._marked(live)
+    at = np.array([r[0] for r in spark.range(3000).withColumnRenamed("id", "doc_id").orderBy("doc_id").select(ngram_join._mark(64 * len(marked))).collect()], np.uint64)
+    found = (marked[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    assert found[::3].all() and found.mean() < 0.4
+
+
 def test_first_of_each(spark):
     pairs = near_corpus(4, groups=4, largest=12)
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in ngram_join.first_of_each(documents(spark, pairs)).collect())

@@ -47,10 +47,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.runtime import Durable, fresh, ship, small
+from tidemark.llm.runtime import Durable, fresh, seen, ship, small
 from tidemark.llm.similarity import WORDS, across, bitmap, in_length, labelled, split, verified
 
 PERCENT, RARE = 80, 24
+#: Bits by which the rows of live classes are told from others before their texts are read; 16 for each class, up to 4 MB.
+MARKS = 1 << 25
 
 
 def _missing(n: np.ndarray, percent: int) -> np.ndarray:
@@ -58,15 +60,32 @@ def _missing(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100
 
 
-def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFrame:
-    """Of each row: doc_id, class (digest of the token set), n, and its first tokens or, with ``full``, all of them and their bitmap."""
+def _marked(live: DataFrame) -> np.ndarray:
+    """Of each of at most ``MARKS`` bits whether the hash of some doc_id falls on it."""
+    size = min(MARKS, max(1 << 16, 1 << (16 * seen(live)["n"]).bit_length()))
+    marks = live.select(_mark(size).alias("mark")).groupBy(F.shiftright("mark", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _mark(size: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(size).cast("long"))
+
+
+def _scan(documents: DataFrame, percent: int, part: float, marked: np.ndarray | None = None) -> DataFrame:
+    """Of each row: doc_id, class (digest of the token set), n and its first tokens; or of rows whose doc_id is ``marked`` all tokens and their bitmap."""
     from tidemark.llm import text
 
     ship(documents.sparkSession)
+    full = marked is not None
     names = ["doc_id", "class", "n", "tokens"] + ["bits"] * full
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in parts:
+            if full:  # before the texts are read
+                mark = piece.column("mark").to_numpy().astype(np.uint64)
+                piece = piece.filter(pa.array((marked[mark >> np.uint64(6)] >> (mark & np.uint64(63))) & np.uint64(1) == 1))
             for at in range(0, max(1, piece.num_rows), 1000):
                 rows = piece.slice(at, 1000)
                 sets = text.shingles(rows.column("text"))
@@ -82,7 +101,8 @@ def _scan(documents: DataFrame, percent: int, part: float, full: bool) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, class binary, n long, tokens array<long>" + ", bits array<long>" * full)
+    documents = documents.select("doc_id", "text", *([_mark(64 * len(marked)).alias("mark")] if full else []))
+    return documents.mapInArrow(batches, f"doc_id {kind}, class binary, n long, tokens array<long>" + ", bits array<long>" * full)
 
 
 def _k(n: Column, part: float) -> Column:
@@ -108,21 +128,21 @@ def _combinations(index: DataFrame) -> DataFrame:
     rows = index.withColumn("m", F.explode(F.array_distinct(F.array(_groups(_level()), _groups(_level() + 1)))))
     grouped = rows.groupBy("id", "n", "component", "m", F.pmod(F.xxhash64("token"), F.col("m")).alias("g")).agg(F.array_sort(F.collect_list("token")).alias("tokens")).filter(F.size("tokens") > 1)
     pair = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.struct(x.alias("t"), y.alias("u")))))
-    return grouped.select("id", "n", "component", F.explode(pair).alias("pair")).select("id", "n", "component", "pair.t", "pair.u").distinct()
+    # outer, as Spark else puts a filter before the generator that makes all pairs twice more; each group has one
+    return grouped.select("id", "n", "component", F.explode_outer(pair).alias("pair")).select("id", "n", "component", "pair.t", "pair.u").distinct()
 
 
-def _alive(rows: DataFrame, node: list[str], part: float, store: Durable) -> DataFrame:
-    """The node columns and n of rows (node, n, tokens) of which enough of the tokens also occur in other rows.
+def _alive(rows: DataFrame, part: float, store: Durable) -> DataFrame:
+    """The id of rows (id, n, tokens) of which enough of the tokens also occur in other rows.
 
     A token's rows are counted map-side first; the stored list of shared tokens makes
     both sides of the join plain shuffles, so a token of very many rows is split.
     """
-    number = F.xxhash64(*node).alias("h")
-    tokens = rows.select(number, F.explode("tokens").alias("token"))
+    tokens = rows.select("id", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")  # a row has a token once
     shared = store.write(shared, "shared")
-    held = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("held"))
-    return rows.select(*node, "n", number).join(held.hint("merge"), "h").filter(F.col("held") >= _k(F.col("n"), part)).select(*node, "n")
+    held = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    return rows.select("id", "n").join(held.hint("merge"), "id").filter(F.col("held") >= _k(F.col("n"), part)).select("id")
 
 
 def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -131,22 +151,23 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         raise ValueError(f"percent must be from 50 to 100: {percent}")
     spark = documents.sparkSession
     store = Durable(spark, "ngram-join")
-    scanned = store.write(_scan(documents, percent, 0.05, False), "prefixes")
+    scanned = store.write(_scan(documents, percent, 0.05), "prefixes")
     classes = scanned.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    classes = store.write(classes, "classes")
-    live = store.write(classes.select("class", "doc_id").join(_alive(classes, ["class"], 0.05, store).select("class").hint("merge"), "class"), "live")
+    classes = store.write(classes.select(F.monotonically_increasing_id().alias("id"), "class", "n", "doc_id", "tokens"), "classes")
+    members = store.write(scanned.select("doc_id", "class", "n"), "members")
+    store.drop(scanned)  # with the tokens of all rows
+    live = store.write(classes.select("id", "class", "doc_id").join(_alive(classes, 0.05, store).hint("merge"), "id").select("class", "doc_id"), "live", n=F.count(F.lit(1)))
     store.drop(classes)
-    wanted = small(live.select(F.col("doc_id").alias("wanted")).distinct())
-    rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    full = _scan(rows, percent, 0.0, True).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+    # texts are never shuffled: nearly all rows of other classes go where they are read, the rest by their class
+    full = _scan(documents, percent, 0.0, _marked(live)).join(small(live.select("class")), "class", "left_semi").groupBy("class", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
     full = store.write(full.select(F.monotonically_increasing_id().alias("id"), "class", "n", "tokens", "bits"), "sets")
     some = F.slice("tokens", 1, (_errors(percent) + _k(F.col("n"), 0.3)).cast("int"))
-    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), ["id"], 0.3, store).select("id").hint("merge"), "id", "left_semi"), "live-sets")
+    sets = store.write(full.join(_alive(full.select("id", "n", some.alias("tokens")), 0.3, store).hint("merge"), "id", "left_semi"), "live-sets")
     store.drop(full)
     prefix = F.slice("tokens", 1, (_errors(percent) + _groups(_level() + 1) + 1).cast("int"))
     index = sets.select("id", "n", F.explode(prefix).alias("token"))
     first = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "least", "df")
-    index = store.write(index.join(small(store.write(first, "tokens")), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
+    index = store.write(index.join(store.small(first, "tokens"), "token").select("id", "n", "token", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")), "index")
     star = index.filter("least <> id").filter(in_length("n", "least_n", percent)).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = store.write(verified(star, sets, percent), "links")
     labels = components(links, store)
@@ -160,7 +181,7 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = store.write(links.union(verified(across(split(combos, ["t", "u"], store), ["t", "u"], percent, sets), sets, percent)), "links")
     labels = components(links, store)
     joined = sets.select("id", "class").join(small(labels), F.col("id") == F.col("node")).select("class", "component")
-    member = scanned.select("doc_id", "class", "n").join(small(joined), "class", "left")
+    member = members.join(small(joined), "class", "left")
     group = F.when(F.col("component").isNotNull(), F.struct("component", F.lit(None).cast("binary").alias("class"))).otherwise(F.struct(F.lit(None).cast("long").alias("component"), "class"))
     member = member.select("doc_id", "n", F.when(F.col("n") > 0, group).alias("group"))
     least = member.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
@@ -176,5 +197,5 @@ def first_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     found = similar(documents, percent).filter((F.col("component_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
     name = fresh("_gone_id", documents)
-    gone = small(Durable(documents.sparkSession, "ngram-join").write(found.select(F.col("doc_id").alias(name)).distinct(), "gone"))
+    gone = Durable(documents.sparkSession, "ngram-join").small(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
     return documents.join(gone, documents["doc_id"].eqNullSafe(gone[name]), "left_anti")
