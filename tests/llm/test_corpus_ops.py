@@ -223,6 +223,11 @@ def line_corpus():
     return [*pairs, pairs[-1], (None, "All rights reserved.\nonly here")]
 
 
+def test_texts_are_split_once(spark):
+    plan = line_dedup._lines(documents(spark, [(1, "a b")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text") == 1
+
+
 def test_line_templates(spark):
     pairs = line_corpus()
     want = plain_lines(pairs, 6, 0.75)

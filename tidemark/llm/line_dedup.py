@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Durable, fresh, small
+from tidemark.llm.runtime import Durable, fresh
 
 DEPTH, MIN_DOCS, CONSTANT = 3, 6, 0.75
 WILD = "<*>"
@@ -43,9 +43,10 @@ def _lines(documents: DataFrame) -> DataFrame:
     """Each line with a token: its document, place, token count, leaf, hash and normalised text."""
     # the key first: beside a generator it would be made again, from the whole text, for each line
     rows = documents.select("doc_id", _key().alias("key"), F.split(F.regexp_replace("text", _WHITE, " "), "\n").alias("lines"))
-    rows = rows.select("doc_id", "key", F.posexplode("lines").alias("pos", "line"))
+    # outer, as Spark else puts a filter before the generator that splits each text twice more
+    rows = rows.select("doc_id", "key", F.posexplode_outer("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).filter(F.col("line") != "")
-    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
     lead = F.substring_index("line", " ", DEPTH)
     # begins at tokens only and never goes back, so that a very long token costs its length once
     lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"(^| )[^ 0-9]*+[0-9][^ ]*+", f"$1{WILD}")).otherwise(lead)
@@ -60,23 +61,23 @@ def dropped(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CO
     held = lines.groupBy("leaf", "hash", "n", "key").agg(F.min("doc_id").alias("doc_id"))  # a document once for each distinct line
     of_line = store.write(held.groupBy("leaf", "hash", "n").agg(F.count(F.lit(1)).alias("docs")), "distinct-lines")
     in_leaf = of_line.groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    leaves = small(store.write(in_leaf.select("leaf"), "leaves"))
+    leaves = store.small(in_leaf.select("leaf"), "leaves")
     of_line = of_line.join(leaves, "leaf", "left_semi")
     texts = _lines(documents).select("leaf", "hash", "n", "line").join(leaves, "leaf", "left_semi")
     texts = texts.groupBy("hash").agg(F.first("line").alias("line"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
-    tokens = texts.join(of_line.select("hash", "docs"), "hash").select("leaf", "hash", "n", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    tokens = texts.join(of_line.select("hash", "docs"), "hash").select("leaf", "hash", "n", "docs", F.posexplode_outer(F.split("line", " ")).alias("at", "token"))
     tokens = store.write(tokens.select("leaf", "hash", "n", "docs", "at", F.xxhash64("at", "token").alias("word")), "tokens")
     support = tokens.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "word")
-    kept = tokens.join(small(store.write(support, "support")), ["leaf", "word"], "left_semi")
+    kept = tokens.join(store.small(support, "support"), ["leaf", "word"], "left_semi")
     shapes = kept.groupBy("leaf", "hash", "n").agg(F.bit_xor("word").alias("template"), F.bit_xor(F.xxhash64("word", "at")).alias("shape"), F.count(F.lit(1)).alias("fixed"))
-    shapes = store.write(shapes.filter(F.col("fixed") >= constant * F.col("n")).select("leaf", "hash", "template", "shape"), "shapes")
-    of_template = held.join(small(shapes), ["leaf", "hash"]).groupBy("leaf", "template", "shape", "key").agg(F.min("doc_id").alias("doc_id"))
+    shapes = store.small(shapes.filter(F.col("fixed") >= constant * F.col("n")).select("leaf", "hash", "template", "shape"), "shapes")
+    of_template = held.join(shapes, ["leaf", "hash"]).groupBy("leaf", "template", "shape", "key").agg(F.min("doc_id").alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     recurring = of_template.groupBy("leaf", "template", "shape").agg(F.count(F.lit(1)).alias("docs"), least).filter(F.col("docs") >= min_docs)
-    recurring = store.write(recurring.select("leaf", "template", "shape", "first"), "recurring")
-    verdict = shapes.join(small(recurring), ["leaf", "template", "shape"]).select("hash", "leaf", F.col("first.key").alias("first_key"))
-    verdict = store.write(verdict, "templates")
-    gone = lines.join(small(verdict), ["leaf", "hash"]).filter(F.col("key") != F.col("first_key"))
+    recurring = store.small(recurring.select("leaf", "template", "shape", "first"), "recurring")
+    verdict = shapes.join(recurring, ["leaf", "template", "shape"]).select("hash", "leaf", F.col("first.key").alias("first_key"))
+    verdict = store.small(verdict, "templates")
+    gone = lines.join(verdict, ["leaf", "hash"]).filter(F.col("key") != F.col("first_key"))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -92,7 +93,7 @@ def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float =
 
 def without_lines(documents: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """The documents with their texts less the dropped lines; those that lose every line with a token go."""
-    gone = small(Durable(documents.sparkSession, "line-dedup").write(dropped(documents, min_docs, constant), "dropped"), lists="dropped").alias("g")
+    gone = Durable(documents.sparkSession, "line-dedup").small(dropped(documents, min_docs, constant), "dropped", lists="dropped").alias("g")
     both = documents.alias("r").join(gone, (_key("r.") == F.col("g.key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     parts = F.split("r.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("g.dropped"))
