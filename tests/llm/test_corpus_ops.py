@@ -362,7 +362,7 @@ def test_tables_are_measured_while_they_are_written(spark):
     labels = small(components(edges, store))
     assert executions(spark) - before == store.count  # what decides on the next round or a broadcast takes no job of its own
     assert {r.component for r in labels.collect()} == {0}
-    for rows, hint in ((10, "strategy=broadcast"), (9, "strategy=merge")):
+    for rows, hint in ((10, "Hint broadcast"), (9, "Hint merge")):
         rows_of = spark.range(10).selectExpr("id", "cast(id as string) as name")
         assert seen(store.write(rows_of, "test", **sizes(rows_of))) == {"n": 10, "bytes": 10 * (16 + 8 + 1)}
         table = store.small(rows_of, "test", rows=rows)
